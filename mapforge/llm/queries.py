@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, rules, simhash, warc
+from . import bpe, fingerprint, rules, simhash, subtrees, suffix_runs, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_front_coded_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_runs.summary(suffix_runs.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
@@ -28,12 +32,27 @@ def op8_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_prefix_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtrees.summary(subtrees.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bucket_digest, op2_warc_segments, op5_rule_ledger, op8_segment_tree_bpe, op10_pigeonring_simhash)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_bucket_digest,
+            op2_warc_segments,
+            op3_front_coded_suffix_runs,
+            op5_rule_ledger,
+            op8_segment_tree_bpe,
+            op9_prefix_subtrees,
+            op10_pigeonring_simhash,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
