@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, rules, simhash, subtrees, suffix_runs, warc
+from . import bpe, fingerprint, katz, lines, mixing, rules, simhash, subtrees, suffix_runs, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +24,22 @@ def op3_front_coded_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_runs.summary(suffix_runs.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.summary(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.fit_and_score(table(spark, sf_dir, "documents"))
+
+
+def op7_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.summary(table(spark, sf_dir, "documents"))
+
+
 def op8_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -47,7 +59,10 @@ def queries() -> dict[str, Query]:
             op1_bucket_digest,
             op2_warc_segments,
             op3_front_coded_suffix_runs,
+            op4_soft_mixing,
             op5_rule_ledger,
+            op6_katz_backoff,
+            op7_line_similarity_join,
             op8_segment_tree_bpe,
             op9_prefix_subtrees,
             op10_pigeonring_simhash,

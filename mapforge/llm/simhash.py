@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, materialise
 
@@ -49,6 +50,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
+def _fingerprints_by_text(docs: DataFrame) -> DataFrame:
+    """``doc_id, th, fp``, where ``th`` tells texts of the same id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [fingerprint(t.as_py()) for t in b.column(2).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "th", "fp"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, fp long")
+
+
 def _spans(segments: int) -> list[tuple[int, int]]:
     cuts = [BITS * i // segments for i in range(segments + 1)]
     return list(zip(cuts[:-1], cuts[1:]))
@@ -91,13 +104,32 @@ def groups(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     Equal fingerprints are one node, so copies are never expanded into pairs. A null doc_id takes part
     in linking but is never the least; a group of null ids alone has a null component_id.
     """
-    fps = materialise(fps, "fingerprints")
+    return _placed(materialise(fps, "fingerprints"), max_bits)[0]
+
+
+def _placed(fps: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """``groups`` of a stored table, and ``fp, root`` of its distinct fingerprints."""
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct, max_bits))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp")
+    return fps.join(by_fp, "fp"), placed.select("fp", "root")
+
+
+def keep_one(docs: DataFrame, max_bits: int = 2) -> DataFrame:
+    """One row of each near-duplicate group: that of the least doc_id (nulls last, then by a hash of the text).
+
+    Columns of ``docs`` are kept as they are. Of equal rows one stays; an empty table stays empty.
+    """
+    fps = materialise(_fingerprints_by_text(docs), "fingerprints")
+    _, roots = _placed(fps, max_bits)
+    by_fp = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    first = by_fp.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("keep id"), F.col("first.th").alias("keep th"))
+    own = docs.withColumn("text hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = own.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("keep id")) & (F.col("text hash") == F.col("keep th")), "left_semi")
+    once = Window.partitionBy("doc_id", "text hash").orderBy(F.lit(1))
+    return kept.withColumn("keep rank", F.row_number().over(once)).where(F.col("keep rank") == 1).select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = SHINGLE) -> DataFrame:
