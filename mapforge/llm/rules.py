@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_alpha_words", "n_upper_words", "n_dup_line_bytes", "n_bytes")
@@ -143,9 +144,7 @@ def keep(docs: DataFrame, version: str = "v2", rules: tuple[Rule, ...] = RULES)
             rows = np.array([measure(t.as_py()) for t in b.column(at).cast(pa.large_binary())], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], [*b.schema.names, *(tag + m for m in MEASURES)])
 
-    schema = docs.schema
-    for m in MEASURES:
-        schema = schema.add(tag + m, "long")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(tag + m, T.LongType()) for m in MEASURES)])
     out = docs.mapInArrow(run, schema)
     return out.where(failure_bits(rules, tag).bitwiseAND(F.lit(POLICIES[version])) == 0).select(*docs.columns)
 
