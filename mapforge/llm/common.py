@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Ids are compared in Python as 64-bit integers; a null id counts as larger than any other.
 NULL_ID = (1 << 63) - 1
 
@@ -26,10 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
+
+    The shuffle files that led to it are dropped once it is written: nothing refers to them any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mapforge/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,6 @@ that ``score`` evaluates every token where its text is.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -97,7 +96,7 @@ class Unigrams:
 class _Run:
     """A run's tokens: numbers of its distinct words, histories, and what belongs to which document."""
 
-    def __init__(self, blob: bytes) -> None:
+    def __init__(self, blob: list[bytes]) -> None:
         _, self.raw_ids, texts = R.documents(blob)
         seen: dict[bytes, int] = {END: 0}
         put = seen.setdefault
@@ -247,12 +246,6 @@ def _times(table: DataFrame, at: int) -> tuple[int, int, list[int]]:
     return total, n, times
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of jobs whose results are stored."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 @dataclass
 class Model:
     """The stored tables (rows with run -1), with the answers that the fitted documents' runs were given."""
@@ -268,11 +261,10 @@ def fit(docs: DataFrame, run_bytes: int = R.RUN_BYTES) -> Model:
     """Count the words and bigrams of all documents that are not held out; texts end with a token of their own."""
     packed = R.Runs(docs, run_bytes)
     parts = packed.parts
-    words = materialise(R.gather(packed.scatter(lambda blob: _Run(blob).words(parts)), _words_part), "unigrams")
-    _release(docs)
+    words = materialise(R.gather(packed.scatter_in_place(lambda blob: _Run(blob).words(parts)), _words_part), "unigrams")
     unigrams = Unigrams.fit(*_times(words, 1))
 
-    def ask(blob: bytes, answers: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
+    def ask(blob: list[bytes], answers: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         run = _Run(blob)
         run.know(answers, parts)
         run.pairs(parts, unigrams.tokens)
@@ -280,7 +272,6 @@ def fit(docs: DataFrame, run_bytes: int = R.RUN_BYTES) -> Model:
 
     sent = packed.scatter_with(words.where(F.col("run") != _TABLE), ask)
     pairs = materialise(R.gather(sent, lambda _, of, payloads: _pairs_part(payloads, of, unigrams)), "bigrams")
-    _release(docs)
     return Model(words, pairs, unigrams, Discounts.fit(_times(pairs, 3)[2]), parts)
 
 
@@ -309,7 +300,7 @@ def score(model: Model, docs: DataFrame, run_bytes: int = R.RUN_BYTES) -> DataFr
     """
     parts, unigrams, discounts = model.parts, model.unigrams, model.discounts
 
-    def finish(blob: bytes, answers: dict[int, bytes]) -> pa.Table:
+    def finish(blob: list[bytes], answers: dict[int, bytes]) -> pa.Table:
         run = _Run(blob)
         run.know({p: x for p, x in answers.items() if p < parts}, parts)
         run.pairs(parts, unigrams.tokens)

@@ -171,6 +171,7 @@ class Repeats:
     """Removal of repeated windows; ``gram`` and the methods that raise tell bytes from words."""
 
     gram: int
+    spread = 2
 
     def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, object]:
         """Hashes of all symbols, where documents begin (and the end), and what ``contexts`` and ``kept`` need."""
@@ -192,7 +193,7 @@ class Repeats:
 
     # The steps of a run
 
-    def _grams(self, blob: bytes) -> dict:
+    def _grams(self, blob: list[bytes]) -> dict:
         ids, raw_ids, texts = R.documents(blob)
         symbols, starts, aux = self.symbols(texts)
         at, h = anchors(symbols, starts, self.gram)
@@ -201,7 +202,7 @@ class Repeats:
         keys, which = np.unique(h, return_inverse=True)
         return {"ids": ids, "raw_ids": raw_ids, "starts": starts, "aux": aux, "at": at, "doc": doc, "keys": keys, "which": which}
 
-    def _hashes(self, blob: bytes, parts: int) -> Iterator[tuple[int, bytes]]:
+    def _hashes(self, blob: list[bytes], parts: int) -> Iterator[tuple[int, bytes]]:
         g = self._grams(blob)
         ids = g["ids"][g["doc"]]
         low, high = _extremes(g["which"], ids, len(g["keys"]))
@@ -226,7 +227,7 @@ class Repeats:
             yield run, R.join_blobs(np.packbits(shared[which[at : at + len(k)]]).tobytes())
             at += len(k)
 
-    def _suffixes(self, blob: bytes, shared: dict[int, bytes], parts: int) -> dict:
+    def _suffixes(self, blob: list[bytes], shared: dict[int, bytes], parts: int) -> dict:
         """The run's anchors whose grams are shared, and their distinct contexts, by part."""
         g = self._grams(blob)
         edges = R.cuts(g["keys"], HASH_BITS, parts)
@@ -248,7 +249,7 @@ class Repeats:
         part[which] = part_of[g["which"][chosen]]
         return g | {"at": at, "of": ids, "before": before, "after": after, "context": which, "store": store, "least": least, "part": part}
 
-    def _send(self, blob: bytes, answers: dict[int, bytes], parts: int) -> Iterator[tuple[int, bytes]]:
+    def _send(self, blob: list[bytes], answers: dict[int, bytes], parts: int) -> Iterator[tuple[int, bytes]]:
         shared = {p: R.split_blobs(x)[0] for p, x in answers.items()}
         s = self._suffixes(blob, shared, parts)
         order = np.argsort(s["part"], kind="stable")
@@ -264,7 +265,7 @@ class Repeats:
         for run, x, m in zip(of, split, masks):
             yield run, R.join_blobs(x[0], R.pack_ints(m))
 
-    def _finish(self, blob: bytes, answers: dict[int, bytes], parts: int) -> pa.Table:
+    def _finish(self, blob: list[bytes], answers: dict[int, bytes], parts: int) -> pa.Table:
         split = {p: R.split_blobs(x) for p, x in answers.items()}
         s = self._suffixes(blob, {p: x[0] for p, x in split.items()}, parts)
         masks = np.zeros(len(s["least"]), np.uint64)
@@ -276,11 +277,11 @@ class Repeats:
         whole = np.where(s["before"] >= low, (np.uint64(1) << (s["before"] + 1).astype(np.uint64)) - (np.uint64(1) << np.maximum(low, 0).astype(np.uint64)), np.uint64(0))
         mask = np.where(s["of"] > s["least"][s["context"]], whole, mask)
         starts = s["starts"]
-        begins = np.zeros(int(starts[-1]) + 1, np.int32)
+        begins = np.zeros(int(starts[-1]) + 1, np.int8)
         for back in range(WINDOW - self.gram + 1):
             hit = (mask >> np.uint64(back)) & np.uint64(1) > 0
             begins[s["at"][hit] - back] = 1
-        total = np.cumsum(begins[:-1])
+        total = np.cumsum(begins[:-1], dtype=np.int32)
         covered = total > 0
         covered[WINDOW:] = total[WINDOW:] > total[:-WINDOW]
         steps = np.diff(np.concatenate([[0], covered, [0]]).astype(np.int8))
@@ -301,7 +302,7 @@ class Repeats:
         the input. Null texts are empty, a null id is larger than any other, and rows of the same id do not
         remove from each other. An empty table gives no rows.
         """
-        packed = R.Runs(docs, run_bytes)
+        packed = R.Runs(docs, run_bytes, self.spread)
         parts = packed.parts
         shared = R.gather(packed.scatter(lambda blob: self._hashes(blob, parts)), self._shared)
         answers = R.gather(packed.scatter_with(shared, lambda blob, got: self._send(blob, got, parts)), self._resolve)

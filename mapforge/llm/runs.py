@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, n_partitions
 
 #: Bytes of text in a run.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
+#: Bytes of text in a row of a run: large rows make the JVM's heap grow.
+PIECE_BYTES = 1 << 18
 
 SENT = "part long, run long, payload binary"
 ANSWER = "run long, part long, payload binary"
@@ -76,65 +78,92 @@ def pack_documents(ids: list[int | None], texts: list[bytes]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def documents(blob: bytes) -> tuple[np.ndarray, list[int | None], list[bytes]]:
+def documents(pieces: list[bytes]) -> tuple[np.ndarray, list[int | None], list[bytes]]:
     """Ids with null as ``NULL_ID``, ids as they were, and texts."""
-    t = pa.ipc.open_stream(blob).read_all()
-    ids = t.column(0).to_pylist()
-    return np.array([NULL_ID if i is None else i for i in ids], np.int64), ids, t.column(1).to_pylist()
+    ids, texts = [], []
+    for p in pieces:
+        t = pa.ipc.open_stream(p).read_all()
+        ids += t.column(0).to_pylist()
+        texts += t.column(1).to_pylist()
+    return np.array([NULL_ID if i is None else i for i in ids], np.int64), ids, texts
+
+
+def _packs(batches: Iterator[pa.RecordBatch], run_bytes: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of the rows (id, text) of this task, each in pieces that are small enough to be rows."""
+    run = TaskContext.get().partitionId() << 32
+    ids, texts, size, pieces, whole = [], [], 0, [], 0
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())):
+            raw = t.as_py() or b""
+            ids.append(i)
+            texts.append(raw)
+            size += len(raw) + 16
+            if size >= PIECE_BYTES:
+                pieces.append(pack_documents(ids, texts))
+                ids, texts, size, whole = [], [], 0, whole + size
+            if whole + size >= run_bytes:
+                yield run, [*pieces, pack_documents(ids, texts)]
+                ids, texts, size, pieces, whole, run = [], [], 0, [], 0, run + 1
+    if ids or pieces:
+        yield run, [*pieces, pack_documents(ids, texts)]
 
 
 class Runs:
     """The packed runs of ``docs(doc_id, text)``; a null text counts as empty."""
 
-    def __init__(self, docs: DataFrame, run_bytes: int = RUN_BYTES) -> None:
-        self.parts = 2 * n_partitions(docs.sparkSession)
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    def __init__(self, docs: DataFrame, run_bytes: int = RUN_BYTES, spread: int = 2) -> None:
+        """``spread``: parts for each shuffle partition; more make a part smaller."""
+        self.parts, self.run_bytes = spread * n_partitions(docs.sparkSession), run_bytes
+        self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, texts, size, n = [], [], 0, TaskContext.get().partitionId() << 32
-            row = lambda: pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([pack_documents(ids, texts)], pa.binary())], ["run", "blob"])
-            for b in batches:
-                for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())):
-                    raw = t.as_py() or b""
-                    ids.append(i)
-                    texts.append(raw)
-                    size += len(raw) + 16
-                    if size >= run_bytes:
-                        yield row()
-                        ids, texts, size, n = [], [], 0, n + 1
-            if ids:
-                yield row()
-
-        self.packed = rows.mapInArrow(pack, "run long, blob binary")
-
-    def scatter(self, fn: Callable[[bytes], Rows]) -> DataFrame:
-        """``fn(blob)`` gives (part, payload); one row for each."""
+            for run, pieces in _packs(batches, run_bytes):
+                for n, p in enumerate(pieces):
+                    yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.array([n], pa.int64()), pa.array([p], pa.binary())], ["run", "piece", "blob"])
+
+        self.packed = self.rows.mapInArrow(pack, "run long, piece long, blob binary")
+
+    def scatter_in_place(self, fn: Callable[[list[bytes]], Rows]) -> DataFrame:
+        """``fn(pieces)`` gives (part, payload); one row for each. Where texts are read, without dealing them out."""
+        run_bytes = self.run_bytes
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for run, pieces in _packs(batches, run_bytes):
+                yield from _sent(run, fn(pieces)).to_batches()
+
+        return self.rows.mapInArrow(each, SENT)
+
+    def scatter(self, fn: Callable[[list[bytes]], Rows]) -> DataFrame:
+        """As ``scatter_in_place``, from the exchange of texts that later steps use as well."""
 
         def each(table: pa.Table) -> pa.Table:
-            run = table.column(0)[0].as_py()
-            return _sent(run, fn(table.column(1)[0].as_py()))
+            return _sent(table.column(0)[0].as_py(), fn(_pieces(table)))
 
         return self.packed.groupBy("run").applyInArrow(each, SENT)
 
-    def scatter_with(self, answers: DataFrame, fn: Callable[[bytes, dict[int, bytes]], Rows]) -> DataFrame:
+    def scatter_with(self, answers: DataFrame, fn: Callable[[list[bytes], dict[int, bytes]], Rows]) -> DataFrame:
         """As ``scatter``, with the run's answers by part."""
 
         def each(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows:
                 return _sent(0, ())
-            return _sent(left.column(0)[0].as_py(), fn(left.column(1)[0].as_py(), _answers(right)))
+            return _sent(left.column(0)[0].as_py(), fn(_pieces(left), _answers(right)))
 
         return self.packed.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(each, SENT)
 
-    def finish(self, answers: DataFrame, fn: Callable[[bytes, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
+    def finish(self, answers: DataFrame, fn: Callable[[list[bytes], dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
         """Rows for each run's documents from the run and its answers."""
 
         def each(left: pa.Table, right: pa.Table) -> pa.Table:
-            return fn(left.column(1)[0].as_py() if left.num_rows else pack_documents([], []), _answers(right))
+            return fn(_pieces(left), _answers(right))
 
         return self.packed.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(each, schema)
 
 
+def _pieces(table: pa.Table) -> list[bytes]:
+    return [p for _, p in sorted(zip(table.column(1).to_pylist(), table.column(2).to_pylist()))]
+
+
 def gather(sent: DataFrame, fn: Callable[[int, list[int], list[bytes]], Rows]) -> DataFrame:
     """``fn(part, runs, payloads)`` gives (run, payload) answers of a part. Runs come in ascending order."""
 

@@ -74,7 +74,7 @@ def test_hot_histories_are_dealt_by_follower(monkeypatch):
 
     monkeypatch.setattr(katz, "HOT_LEAST", 2)
     rows = [(i, t or "") for i, t in texts(n=60)]
-    blob = R.pack_documents([i for i, _ in rows], [t.encode() for _, t in rows])
+    blob = [R.pack_documents([i for i, _ in rows], [t.encode() for _, t in rows])]
     parts = 7
     run = katz._Run(blob)
     answers, tables = {}, {}
