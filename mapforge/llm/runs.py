@@ -10,6 +10,8 @@ handed when it is computed again after a loss is the same, because ids derive fr
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -155,11 +157,20 @@ class Runs:
         """Rows for each run's documents from the run and its answers."""
 
         def each(left: pa.Table, right: pa.Table) -> pa.Table:
-            return fn(_pieces(left), _answers(right))
+            out = fn(_pieces(left), _answers(right))
+            _trim()
+            return out
 
         return self.packed.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(each, schema)
 
 
+def _trim() -> None:
+    """Give memory that a finished group has used back to the system, as idle workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _pieces(table: pa.Table) -> list[bytes]:
     return [p for _, p in sorted(zip(table.column(1).to_pylist(), table.column(2).to_pylist()))]
 
@@ -171,6 +182,7 @@ def gather(sent: DataFrame, fn: Callable[[int, list[int], list[bytes]], Rows]) -
         part = table.column(0)[0].as_py()
         rows = sorted(zip(table.column(1).to_pylist(), table.column(2).to_pylist()))
         out = list(fn(part, [r for r, _ in rows], [p for _, p in rows]))
+        _trim()
         return pa.table({"run": pa.array([r for r, _ in out], pa.int64()), "part": pa.array([part] * len(out), pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
 
     return sent.groupBy("part").applyInArrow(each, ANSWER)
@@ -178,6 +190,7 @@ def gather(sent: DataFrame, fn: Callable[[int, list[int], list[bytes]], Rows]) -
 
 def _sent(run: int, rows: Rows) -> pa.Table:
     rows = list(rows)
+    _trim()
     return pa.table({"part": pa.array([p for p, _ in rows], pa.int64()), "run": pa.array([run] * len(rows), pa.int64()), "payload": pa.array([p for _, p in rows], pa.binary())})
 
 

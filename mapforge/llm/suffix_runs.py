@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import WINDOW, Repeats, covered_windows, mix, shared_prefix
-from .runs import RUN_BYTES
 
 GRAM = 16
 LEFT = WINDOW - GRAM
 #: Bytes from the anchor on, bytes before it (nearest first), and how many there are of both.
 WIDTH = WINDOW + LEFT + 2
+#: Bytes have several suffixes where words have one, so runs are smaller.
+RUN_BYTES = 2 << 20
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -100,6 +101,7 @@ def merge(sequences: list[list[bytes]], shared: list[list[int]]) -> Iterator[tup
 
 class ByteRepeats(Repeats):
     gram = GRAM
+    spread = 4
 
     def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -158,7 +160,7 @@ class ByteRepeats(Repeats):
 
     def kept(self, aux: np.ndarray, starts: np.ndarray, covered: np.ndarray) -> list[bytes]:
         left = aux[~covered].tobytes()
-        ends = np.concatenate([[0], np.cumsum(~covered)])[starts]
+        ends = np.concatenate([[0], np.cumsum(~covered, dtype=np.int32)])[starts]
         return [left[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
