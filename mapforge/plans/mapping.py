@@ -38,11 +38,15 @@ class Mapped:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a table's results build on those of all before it."""
+    """Cut the lineage: a table's results build on those of all before it.
+
+    All that is kept has the size of a catalog or of a table's header, so it is one partition; unions would
+    otherwise add partitions with every table, and comparing types with each other would multiply them.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+    return df.coalesce(1).checkpoint()
 
 
 def map_table(
@@ -51,7 +55,7 @@ def map_table(
 ) -> Mapped:
     """Profile, decide, ask, change and project one table. A patch with any error changes nothing."""
     spark = table.sparkSession
-    prof = _kept(profile(table, row))
+    prof = _kept(profile(table, row).repartition(1))
     cards = _kept(C.cards(catalog))
     header = [c for c in table.columns if c != row]
     subject = decide.decide_subject(spark, name, header, cards)
