@@ -38,16 +38,24 @@ class Classifier:
     priors: dict[str, float]
 
 
-def _marks(text: Column) -> Column:
-    """The distinct words of a text, lower-cased, and marks of its shape: symbols, capitals and repetition."""
-    words = F.split(F.lower(text), WORD_SPLIT)
-    n = F.greatest(F.size(words), F.lit(1))
-    share = lambda name, x: F.concat(F.lit(f" {name} "), F.least(F.lit(9), F.floor(20 * x / n)).cast("string"))
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    loud = F.length(text) - F.length(F.translate(text, "!", ""))
-    again = n - F.size(F.array_distinct(words))
-    capitals = F.when(F.upper(text) == text, F.lit(" capitals")).otherwise(F.lit(" mixed"))
-    return F.array_union(F.array_distinct(words), F.array(share("symbols", symbols), share("loud", loud), share("again", again), capitals))
+def _marked(texts: DataFrame) -> DataFrame:
+    """``mark`` for each distinct lower-case word of a text, and for its shape: symbols, capitals and repetition.
+
+    ``n_tokens`` is the number of words. Texts are split once, in a projection of its own, as a generator's
+    input would be computed anew for each use. The first mark of shape occurs once in every row.
+    """
+    keep = [c for c in texts.columns if c != "text"]
+    once = lambda x: F.explode(F.array(x))
+    split = texts.select(*keep, "text", once(F.split(F.lower(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))), WORD_SPLIT)).alias("w"))
+    sized = split.select(*keep, "text", F.size("w").alias("n"), once(F.array_distinct("w")).alias("d"))
+    share = lambda name, x: F.concat(F.lit(f" {name} "), F.least(F.lit(9), F.floor(20 * x / F.col("n"))).cast("string"))
+    symbols = F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))
+    loud = F.length("text") - F.length(F.translate("text", "!", ""))
+    capitals = F.when(F.upper("text") == F.col("text"), F.lit(" capitals")).otherwise(F.lit(" mixed"))
+    shape = F.array(share("symbols", symbols), share("loud", loud), share("again", F.col("n") - F.size("d")), capitals)
+    n_tokens = F.when(F.get("d", 0) == "", 0).otherwise(F.col("n")).cast("long").alias("n_tokens")
+    whole = sized.select(*keep, n_tokens, F.concat("d", shape).alias("marks"))
+    return whole.select(*keep, "n_tokens", F.explode("marks").alias("mark"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -67,7 +75,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     total = known.count()
     share = min(1.0, sample / max(1, total))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < round(share * (1 << 20)))
-    seen = _texts(docs).join(F.broadcast(chosen), "doc_id").select("domain", F.explode(_marks(F.col("text"))).alias("mark")).where("mark <> ''")
+    seen = _marked(_texts(docs).join(F.broadcast(chosen), "doc_id").select("domain", "text")).where("mark <> ''")
     of = {r.domain: r.n for r in chosen.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # a row a domain
     n = {d: of.get(d, 0) for d in DOMAINS}
     whole = sum(n.values())
@@ -84,17 +92,14 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
     Words that the classifier does not know say nothing. A text's words are counted next to where they are
     read, so that the shuffle carries one row a document.
     """
-    words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), WORD_SPLIT)
-    n = F.when(F.get(words, 0) == "", 0).otherwise(F.size(words)).cast("long")
-    each = _texts(docs).groupBy("doc_id", "th").agg(F.count("*").alias("rows"), F.first(n).alias("n_tokens"))
-    marks = _texts(docs).select("doc_id", "th", F.explode(_marks(F.col("text"))).alias("mark"))
-    found = marks.join(F.broadcast(classifier.weights), "mark").groupBy("doc_id", "th").agg(F.count("*").alias("k"), *(F.sum(f"w_{d}").alias(f"s_{d}") for d in DOMAINS))
-    both = each.alias("e").join(found.alias("f"), F.expr("e.doc_id <=> f.doc_id and e.th = f.th"), "left")
+    found = _marked(_texts(docs)).join(F.broadcast(classifier.weights), "mark", "left").groupBy("doc_id", "th").agg(
+        F.count_if(F.col("mark").startswith(" symbols ")).alias("rows"), F.first("n_tokens").alias("n_tokens"), *(F.sum(f"w_{d}").alias(f"s_{d}") for d in DOMAINS)
+    )
     # equal rows repeat their marks, which does not change what they say
-    logit = {d: F.lit(classifier.priors[d]) + EVIDENCE * F.coalesce(F.col(f"f.s_{d}") / F.col("e.rows"), F.lit(0.0)) for d in DOMAINS}
+    logit = {d: F.lit(classifier.priors[d]) + EVIDENCE * F.coalesce(F.col(f"s_{d}") / F.col("rows"), F.lit(0.0)) for d in DOMAINS}
     top = F.greatest(*logit.values())
     total = sum((F.exp(x - top) for x in logit.values()), F.lit(0.0))
-    return both.select("e.doc_id", "e.th", "e.rows", "e.n_tokens", *((F.exp(x - top) / total).alias(f"p_{d}") for d, x in logit.items()))
+    return found.select("doc_id", "th", "rows", "n_tokens", *((F.exp(x - top) / total).alias(f"p_{d}") for d, x in logit.items()))
 
 
 def _rate(start: float, steps: list[np.ndarray], max_rate: float | None) -> Column:
