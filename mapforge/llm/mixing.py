@@ -49,8 +49,11 @@ def _marked(texts: DataFrame) -> DataFrame:
     split = texts.select(*keep, "text", once(F.split(F.lower(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))), WORD_SPLIT)).alias("w"))
     sized = split.select(*keep, "text", F.size("w").alias("n"), once(F.array_distinct("w")).alias("d"))
     share = lambda name, x: F.concat(F.lit(f" {name} "), F.least(F.lit(9), F.floor(20 * x / F.col("n"))).cast("string"))
-    symbols = F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))
-    loud = F.length("text") - F.length(F.translate("text", "!", ""))
+    bare = F.col("text")
+    for c in "#*$%&|<>":
+        bare = F.replace(bare, F.lit(c))
+    symbols = F.octet_length("text") - F.octet_length(bare)
+    loud = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("!")))
     capitals = F.when(F.upper("text") == F.col("text"), F.lit(" capitals")).otherwise(F.lit(" mixed"))
     shape = F.array(share("symbols", symbols), share("loud", loud), share("again", F.col("n") - F.size("d")), capitals)
     n_tokens = F.when(F.get("d", 0) == "", 0).otherwise(F.col("n")).cast("long").alias("n_tokens")
