@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import names
 from ..functions import vocabulary as V
 from .graph import connected_components
+from .small import kept
 
 SCHEMA = (
     "types array<struct<name string, description string,"
@@ -82,17 +83,23 @@ def near_duplicate_types(c: Catalog) -> DataFrame:
     return pairs.withColumn("score", 0.5 * F.col("name_similarity") + 0.5 * F.col("overlap")).where(F.col("score") >= V.NEAR_DUPLICATE).orderBy(F.desc("score"), "a", "b")
 
 
-def canonical_types(c: Catalog) -> DataFrame:
-    """``name, canonical``: for types in a group of near duplicates, its richest (ties by name) if another."""
-    groups = connected_components(near_duplicate_types(c).select("a", "b"), c.types.select(F.col("name").alias("node")))
+def canonical_types(c: Catalog, pairs: DataFrame | None = None) -> DataFrame:
+    """``name, canonical``: for types in a group of near duplicates, its richest (ties by name) if another.
+
+    ``pairs`` are its near duplicates where they are known already.
+    """
+    pairs = kept(near_duplicate_types(c)) if pairs is None else pairs
+    if pairs.isEmpty():
+        return c.types.select("name", F.col("name").alias("canonical")).where(F.lit(False))
+    groups = connected_components(pairs.select("a", "b"), c.types.select(F.col("name").alias("node")), keep=kept)
     rich = groups.join(richness(c), groups.node == F.col("name")).select("node", "component", "members", "described")
     first = Window.partitionBy("component").orderBy(F.desc("members"), F.desc("described"), "node")
     return rich.select(F.col("node").alias("name"), F.first("node").over(first).alias("canonical")).where("name <> canonical")
 
 
-def concept_aliases(c: Catalog) -> DataFrame:
+def concept_aliases(c: Catalog, canonical: DataFrame | None = None) -> DataFrame:
     """``card_id, aliased_to``: types, attributes and relationships of twins and what they resolve to (null: nothing)."""
-    types = canonical_types(c)
+    types = canonical_types(c) if canonical is None else canonical
     concepts = c.attributes.select("owner", F.lit(0).alias("k"), "i", "name").unionAll(c.relationships.select("owner", F.lit(1).alias("k"), "i", "name"))
     concepts = concepts.select("owner", "k", "i", "name", names.canonical_id(F.col("name")).alias("cid"))
     first = concepts.groupBy("owner", "cid").agg(F.min_by("name", F.struct("k", "i")).alias("found"))
@@ -102,10 +109,10 @@ def concept_aliases(c: Catalog) -> DataFrame:
     return types.select(F.col("name").alias("card_id"), F.col("canonical").alias("aliased_to")).unionAll(inner)
 
 
-def cards(c: Catalog, vectors: DataFrame | None = None) -> DataFrame:
+def cards(c: Catalog, vectors: DataFrame | None = None, canonical: DataFrame | None = None) -> DataFrame:
     """One row for each concept: its text for search, whether it is vacuous, and what it is an alias of.
 
-    ``vectors(card_id, vector)`` adds embeddings.
+    ``vectors(card_id, vector)`` adds embeddings; ``canonical`` is what ``canonical_types`` gives where it is known already.
     """
     tail = F.when(F.col("description") != "", F.concat(F.lit(" — "), F.col("description"))).otherwise("")
     listed = c.attributes.groupBy(F.col("owner")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda x: x["name"]).alias("own"))
@@ -117,17 +124,21 @@ def cards(c: Catalog, vectors: DataFrame | None = None) -> DataFrame:
     own_id = F.concat_ws(".", "owner", "name")
     attrs = c.attributes.select(F.struct("t", F.lit(1).alias("k"), "i").alias("ord"), F.lit("attribute").alias("kind"), own_id.alias("card_id"), "owner", "name", "datatype", F.lit(None).cast("string").alias("range"), "description", F.concat(own_id, F.lit(" ("), "datatype", F.lit(")"), tail).alias("text"))
     rels = c.relationships.select(F.struct("t", F.lit(2).alias("k"), "i").alias("ord"), F.lit("relationship").alias("kind"), own_id.alias("card_id"), "owner", "name", F.lit(None).cast("string").alias("datatype"), "range", "description", F.concat(own_id, F.lit(" -> "), "range", tail).alias("text"))
-    alias = concept_aliases(c).withColumn("twin", F.lit(True))
+    alias = concept_aliases(c, canonical).withColumn("twin", F.lit(True))
     out = types.unionByName(attrs).unionByName(rels).join(alias, "card_id", "left")
     orphan = F.coalesce("twin", F.lit(False)) & F.col("aliased_to").isNull()
     out = out.withColumn("vacuous", names.is_vacuous(F.col("name"), F.col("description"))).withColumn("orphan_twin", orphan).drop("twin")
     return out.join(vectors, "card_id", "left") if vectors is not None else out
 
 
-def audit(c: Catalog) -> DataFrame:
-    """``seq, op, target, issue, severity``: near duplicates, then vacuous concepts, then misleading datatypes."""
-    canonical = canonical_types(c)
-    dup = near_duplicate_types(c).join(canonical, (F.col("a") == F.col("name")) | (F.col("b") == F.col("name")))
+def audit(c: Catalog, pairs: DataFrame | None = None, canonical: DataFrame | None = None, every: DataFrame | None = None) -> DataFrame:
+    """``seq, op, target, issue, severity``: near duplicates, then vacuous concepts, then misleading datatypes.
+
+    The near duplicates, canonical types and cards of the catalog are taken as given, or found anew.
+    """
+    pairs = kept(near_duplicate_types(c)) if pairs is None else pairs
+    canonical = kept(canonical_types(c, pairs)) if canonical is None else canonical
+    dup = pairs.join(canonical, (F.col("a") == F.col("name")) | (F.col("b") == F.col("name")))
     keep = F.col("canonical")
     twin = F.when(F.col("a") == keep, F.col("b")).otherwise(F.col("a"))
     dup = dup.groupBy("a", "b", "name_similarity", "overlap", "score").agg(F.first("canonical").alias("canonical")).select(
@@ -135,7 +146,7 @@ def audit(c: Catalog) -> DataFrame:
         F.concat_ws(" / ", "a", "b").alias("target"),
         F.concat(F.format_string("types '%s' and '%s' are near duplicates (names %.2f, attributes %.2f, score %.2f); ", "a", "b", "name_similarity", "overlap", "score"), F.format_string("search resolves '%s' to '%s'", twin, keep)).alias("issue"),
     )
-    every = cards(c)
+    every = cards(c, canonical=canonical) if every is None else every
     place = lambda p: F.struct(F.lit(p).alias("p"), F.col("ord.k").cast("double").alias("s"), F.col("ord.t").alias("t"), F.col("ord.i").alias("i"), F.col("card_id").alias("n"))
     vacuous = every.where("vacuous").select(place(1).alias("seq"), F.col("card_id").alias("target"), F.format_string("%s '%s' is vacuous (generic name or placeholder description)", "kind", "card_id").alias("issue"))
     smell = every.where((F.col("kind") == "attribute") & names.implies_quantity(F.col("name"), F.col("datatype"))).select(place(2).alias("seq"), F.col("card_id").alias("target"), F.format_string("the name of attribute '%s' is a quantity, its datatype string", "card_id").alias("issue"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -16,6 +15,7 @@ from ..functions import vocabulary as V
 from ..operators import catalog as C
 from ..operators import decide, patch
 from ..operators.profile import profile, stripped
+from ..operators.small import kept, plain_plans
 from ..sources import files
 from ..sources.example import CATALOG, TABLES
 
@@ -37,46 +37,47 @@ class Mapped:
     n_cards: int
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a table's results build on those of all before it.
+def map_table(
+    name: str, index: int, table: DataFrame, catalog: C.Catalog, answers: DataFrame, budget: int = V.BUDGET, mode: str = "auto",
+    proposer: decide.Proposer = decide.propose, audit: bool = False, rows: int = 3, row: str | None = None,
+) -> Mapped:
+    """Profile, decide, ask, change and project one table. A patch with any error changes nothing.
 
-    All that is kept has the size of a catalog or of a table's header, so it is one partition; unions would
-    otherwise add partitions with every table, and comparing types with each other would multiply them.
+    Only the profile reads the table whole; what follows has the size of its header and of the catalog.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.coalesce(1).checkpoint()
+    prof = kept(profile(table, row))
+    with plain_plans(table.sparkSession):
+        return _mapped(name, index, table, prof, catalog, answers, budget, mode, proposer, audit, rows, row)
 
 
-def map_table(
-    name: str, index: int, table: DataFrame, catalog: C.Catalog, answers: DataFrame, budget: int = V.BUDGET, mode: str = "auto",
-    proposer: decide.Proposer = decide.propose, flags: DataFrame | None = None, rows: int = 3, row: str | None = None,
+def _mapped(
+    name: str, index: int, table: DataFrame, prof: DataFrame, catalog: C.Catalog, answers: DataFrame, budget: int, mode: str,
+    proposer: decide.Proposer, audit: bool, rows: int, row: str | None,
 ) -> Mapped:
-    """Profile, decide, ask, change and project one table. A patch with any error changes nothing."""
     spark = table.sparkSession
-    prof = _kept(profile(table, row).repartition(1))
-    cards = _kept(C.cards(catalog))
+    pairs = kept(C.near_duplicate_types(catalog))
+    canonical = kept(C.canonical_types(catalog, pairs))
+    cards = kept(C.cards(catalog, canonical=canonical))
     header = [c for c in table.columns if c != row]
     subject = decide.decide_subject(spark, name, header, cards)
     mapped = decide.with_budget(decide.gates(proposer(decide.with_candidates(prof, cards, subject.name)), cards), budget)
-    mapped = _kept(mapped)
-    asked = _kept(decide.questions(mapped, index))
+    mapped = kept(mapped)
+    asked = kept(decide.questions(mapped, index))
     done = decide.resolve(mapped, asked, answers)
     junk = prof.where("junk is not null").select(F.col("name").alias("column"), "position", F.lit("exclude").alias("disposition"), F.lit(1.0).alias("confidence"), F.lit("rule").alias("decided_by"), F.array(F.col("junk")).alias("gates_fired"))
-    done = _kept(done.unionByName(junk, allowMissingColumns=True))
+    done = kept(done.unionByName(junk, allowMissingColumns=True))
     ops = patch.from_decisions(done)
     none = F.lit(None).cast("string")
     if subject.is_new:
         new = spark.range(1).select(F.lit(-1).alias("seq"), F.lit("add_type").alias("op"), F.lit(subject.name).alias("name"), F.lit(subject.confidence).alias("confidence"))
         ops = new.unionByName(ops, allowMissingColumns=True)
-    if flags is not None:
-        ops = flags.select((F.col("seq") - 1000).cast("int").alias("seq"), "op", "target", "issue", "severity").unionByName(ops, allowMissingColumns=True)
+    if audit:
+        ops = C.audit(catalog, pairs, canonical, cards).select((F.col("seq") - 1000).cast("int").alias("seq"), "op", "target", "issue", "severity").unionByName(ops, allowMissingColumns=True)
     flagged = done.where("flagged is not null").select((F.col("position") + 1000).cast("int").alias("seq"), F.lit("flag_ontology_issue").alias("op"), F.col("flagged").alias("target"), F.lit("a column was about to reuse this vacuous concept").alias("issue"), F.lit("warning").alias("severity"))
-    ops = _kept(ops.unionByName(flagged, allowMissingColumns=True).withColumn("description", F.coalesce("description", none)))
-    errors = _kept(patch.validate(ops, catalog))
+    ops = kept(ops.unionByName(flagged, allowMissingColumns=True).withColumn("description", F.coalesce("description", none)))
+    errors = kept(patch.validate(ops, catalog))
     after, log = patch.apply(ops, catalog, mode if errors.isEmpty() else "none")
-    after = C.Catalog(_kept(after.types), _kept(after.attributes), _kept(after.relationships))
+    after = C.Catalog(kept(after.types), kept(after.attributes), kept(after.relationships))
     head = table.limit(rows).select(F.monotonically_increasing_id().alias("at"), *(F.col(f"`{c}`") for c in header))
     numbered = head.select(F.row_number().over(Window.orderBy("at")).alias("row"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), stripped(F.col(f"`{c}`")).alias("v")) for c in header))).alias("c"))
     entities = patch.project(numbered.select("row", "c.column", "c.v"), done, after, subject.name)
@@ -88,7 +89,7 @@ def run(spark: SparkSession, catalog: C.Catalog, tables: Sequence[tuple[str, Dat
     answers = answers if answers is not None else files.read_answers(spark, None)
     out: list[Mapped] = []
     for i, (name, table) in enumerate(tables, 1):
-        done = map_table(name, i, table, catalog, answers, budget, mode, proposer, flags=C.audit(catalog) if i == 1 else None)
+        done = map_table(name, i, table, catalog, answers, budget, mode, proposer, audit=i == 1)
         out.append(done)
         catalog = done.catalog
     return out

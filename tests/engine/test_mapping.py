@@ -9,8 +9,25 @@ SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
-def first(spark):
-    return mapping.example(spark, 1)[0]
+def runs(spark):
+    return mapping.example(spark)
+
+
+@pytest.fixture(scope="module")
+def first(runs):
+    return runs[0]
+
+
+def test_all_tables(runs):
+    """Later tables see what earlier ones added; two questions a table at most, none answered."""
+    assert [(r.reused, r.new, r.excluded, r.escalated) for r in mapping.counters(runs).orderBy("seq").collect()] == [(6, 1, 0, 1), (4, 3, 0, 0), (3, 3, 3, 2)]
+    assert [m.subject.name for m in runs] == ["Organization", "Product", "Person"] and all(m.errors.isEmpty() for m in runs)
+    before = runs[0].catalog.attributes.select("owner", "name", "datatype")
+    added = runs[2].catalog.attributes.select("owner", "name", "datatype").exceptAll(before)
+    assert sorted(map(tuple, added.collect())) == [
+        ("Person", "date", "date"), ("Person", "notes", "string"), ("Person", "status", "string"),
+        ("Product", "country_of_origin", "string"), ("Product", "distributor", "string"), ("Product", "warranty_months", "integer"),
+    ]
 
 
 def test_decisions(first):
