@@ -3,7 +3,7 @@ import pytest
 
 from mapforge import queries
 from mapforge.operators import catalog as C
-from mapforge.plans import mapping
+from mapforge.plans import mapping, report
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,6 +44,16 @@ def test_decisions(first):
     assert first.catalog.attributes.where("owner = 'Organization' and name = 'employee_count' and datatype = 'integer'").count() == 1
 
 
+def test_reports(runs):
+    text = report.markdown(runs[2], 6).first().value
+    assert text.startswith("# Mapping report — 3_crm_export.csv\n\nRow count: 6\n\n## Subject type: `Person` (reused)\n")
+    assert "\n| _id | exclude | - | 1.0 | rule | surrogate_key | False |\n| contact_name | reuse | Person.full_name |" in text
+    assert text.count("<details>") == text.count("</details>") == 6
+    one = report.summary(runs).first()
+    assert one.totals.asDict() == {"columns": 23, "reused": 13, "new": 7, "excluded": 3, "escalated": 3}
+    assert [(x.csv, x.stats["columns"]) for x in one.csvs] == [("1_vendors.csv", 7), ("2_product_catalog.csv", 7), ("3_crm_export.csv", 9)]
+
+
 def test_profile(first):
     p = {r.name: r for r in first.profile.collect()}
     assert (p["hq_country"].inferred_datatype, p["hq_country"].uniqueness, p["hq_country"].entity_like) == ("string", 0.625, True)
