@@ -126,7 +126,7 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, budget
     """``members`` with ``rate``: expected tokens of domain d come as near as they can to ``targets[d]`` of the budget.
 
     Targets are scaled to add up to 1. The budget is given, or what makes domain ``base`` meet its target as it is,
-    or all tokens. Residuals are measured in the metric of the domains' inverse Gram matrix, in which the same
+    or all tokens. No target is beyond what ``max_rate`` lets its domain have. Residuals are measured in the metric of the domains' inverse Gram matrix, in which the same
     step suits small and large domains; steps use that of the documents whose rates are not at a bound while that helps. A document without tokens gets the start's rate, moved like any other's.
     """
     names = list(DOMAINS)
@@ -145,6 +145,8 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, budget
     if budget is None:
         budget = tokens if base is None or not share[names.index(base)] else have[names.index(base)] / share[names.index(base)]
     want = share * budget
+    if max_rate is not None:  # else a domain that hardly occurs would draw all others towards what no rates can reach
+        want = np.minimum(want, max_rate * have)
     ridge = 1e-9 * tokens * np.eye(len(names))
     safe = metric = np.linalg.inv(gram + ridge)
     start = budget / tokens if max_rate is None else min(max_rate, budget / tokens)
