@@ -37,7 +37,7 @@ def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.summary(table(spark, sf_dir, "documents"))
+    return lines.summary(table(spark, sf_dir, "documents"), least_words=1)
 
 
 def op8_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
