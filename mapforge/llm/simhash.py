@@ -124,8 +124,13 @@ def keep_one(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     """
     fps = materialise(_fingerprints_by_text(docs), "fingerprints")
     _, roots = _placed(fps, max_bits)
-    by_fp = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
-    first = by_fp.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("keep id"), F.col("first.th").alias("keep th"))
+    return keep_first(docs, fps.join(roots, "fp"))
+
+
+def keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The row of ``docs`` with the least (doc_id, ``th``) of each root of ``rooted(doc_id, th, root)``, null ids last."""
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("keep id"), F.col("first.th").alias("keep th"))
     own = docs.withColumn("text hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     kept = own.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("keep id")) & (F.col("text hash") == F.col("keep th")), "left_semi")
     once = Window.partitionBy("doc_id", "text hash").orderBy(F.lit(1))
