@@ -19,9 +19,11 @@ WORD_SPLIT = r"[ \t-\r]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset and all runs on this machine, a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='mapforge-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,7 +42,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.select("*").write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that ``materialise`` has stored and that nothing reads any more."""
+    for df in stored:
+        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
 def quoted(name: str) -> str:
