@@ -9,6 +9,7 @@ steps so far, so nothing but these sums ever leaves the executors.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -16,23 +17,26 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT, materialise
+from .common import WORD_SPLIT, materialise, quoted
 
 #: Domains, each with what its labels say; the first that holds counts.
 DOMAINS = {"toxic": "toxic = 1", "low": "quality = 0", "clean": "quality = 1"}
 #: Labelled documents that the classifier learns from, as expected of a selection by hash: the bound of its sample.
 SAMPLE = 20_000
-#: Words (and other marks) that the classifier knows, at most, and in how many labelled documents each occurs at least.
-FEATURES, LEAST_DOCS = 4096, 8
+#: In how many labelled documents a word (or other mark) occurs that the classifier is to know; fewer tell too little of it.
+LEAST_DOCS = 8
+#: Marks that are sent to all executors at most; more are joined by key.
+BROADCAST_MARKS = 200_000
 #: How much each mark's evidence counts, as marks of a text are not independent.
 EVIDENCE = 0.5
-STEPS, CLOSE = 40, 1e-6
+#: Steps at most, how near all domains must come to their targets as a share of the budget, and by what share of the loss a step must improve it, for another to be taken.
+STEPS, CLOSE, GAIN = 200, 1e-6, 1e-5
 TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """``weights(mark, w_<domain>...)`` as a stored table of ``FEATURES`` rows at most, and log priors."""
+    """``weights(mark, w_<domain>...)`` as a stored table, and log priors."""
 
     weights: DataFrame
     priors: dict[str, float]
@@ -84,9 +88,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     whole = sum(n.values())
     counts = seen.groupBy("mark").agg(F.count("*").alias("df"), *(F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in DOMAINS)).where(F.col("df") >= LEAST_DOCS)
     weight = {d: F.log((F.col(f"n_{d}") + 0.5) / (n[d] + 1.0)) - F.log((F.col("df") + 0.5) / (whole + 1.0)) for d in DOMAINS}
-    told = sum((F.col(f"n_{d}") * w for d, w in weight.items()), F.lit(0.0))
-    best = counts.select("mark", *(w.alias(f"w_{d}") for d, w in weight.items()), told.alias("told")).orderBy(F.desc("told"), "mark").limit(FEATURES).drop("told")
-    return Classifier(materialise(best, "marks"), {d: float(np.log((n[d] + 1) / (whole + len(n)))) for d in DOMAINS})
+    known_marks = counts.select("mark", *(w.alias(f"w_{d}") for d, w in weight.items()))
+    return Classifier(materialise(known_marks, "marks"), {d: float(np.log((n[d] + 1) / (whole + len(n)))) for d in DOMAINS})
 
 
 def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -95,7 +98,10 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
     Words that the classifier does not know say nothing. A text's words are counted next to where they are
     read, so that the shuffle carries one row a document.
     """
-    found = _marked(_texts(docs)).join(F.broadcast(classifier.weights), "mark", "left").groupBy("doc_id", "th").agg(
+    weights = classifier.weights
+    if weights.count() <= BROADCAST_MARKS:
+        weights = F.broadcast(weights)
+    found = _marked(_texts(docs)).join(weights, "mark", "left").groupBy("doc_id", "th").agg(
         F.count_if(F.col("mark").startswith(" symbols ")).alias("rows"), F.first("n_tokens").alias("n_tokens"), *(F.sum(f"w_{d}").alias(f"s_{d}") for d in DOMAINS)
     )
     # equal rows repeat their marks, which does not change what they say
@@ -122,12 +128,15 @@ def _rate(start: float, steps: list[np.ndarray], max_rate: float | None) -> Colu
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(float(start)), go)
 
 
-def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None, max_rate: float | None = None, base: str | None = None) -> DataFrame:
+def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None, max_rate: float | None = None, base: str | None = None, reachable: bool = False) -> DataFrame:
     """``members`` with ``rate``: expected tokens of domain d come as near as they can to ``targets[d]`` of the budget.
 
     Targets are scaled to add up to 1. The budget is given, or what makes domain ``base`` meet its target as it is,
-    or all tokens. No target is beyond what ``max_rate`` lets its domain have. Residuals are measured in the metric of the domains' inverse Gram matrix, in which the same
-    step suits small and large domains; steps use that of the documents whose rates are not at a bound while that helps. A document without tokens gets the start's rate, moved like any other's.
+    or all tokens. With ``reachable`` a domain's target is lowered to what ``max_rate`` lets it have, so that one that hardly occurs does not
+    draw the others; ``balance`` tells by how much. Residuals are measured in the metric of the domains' inverse Gram matrix, in which the same
+    step suits small and large domains; steps use that of the documents whose rates are not at a bound while that helps, and a
+    step that makes the loss worse is halved. The fit ends at the tolerances ``CLOSE`` or ``GAIN``; if neither is met in ``STEPS`` steps it raises.
+    A document without tokens gets the start's rate, moved like any other's. An empty table stays empty.
     """
     names = list(DOMAINS)
     weight = F.col("rows") * F.col("n_tokens")
@@ -145,53 +154,82 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, budget
     if budget is None:
         budget = tokens if base is None or not share[names.index(base)] else have[names.index(base)] / share[names.index(base)]
     want = share * budget
-    if max_rate is not None:  # else a domain that hardly occurs would draw all others towards what no rates can reach
+    if reachable and max_rate is not None:
         want = np.minimum(want, max_rate * have)
     ridge = 1e-9 * tokens * np.eye(len(names))
     safe = metric = np.linalg.inv(gram + ridge)
     start = budget / tokens if max_rate is None else min(max_rate, budget / tokens)
     steps: list[np.ndarray] = []
-    got, loss = have * start, np.inf
+    got, scale = have * start, 1.0
+    loss = float((got - want) @ safe @ (got - want)) / budget
     for _ in range(STEPS):
         off = got - want
-        steps.append(metric @ off)
+        if np.abs(off).max() <= CLOSE * budget:
+            break
+        steps.append(scale * (metric @ off))
         rate = F.col("rate")
         inside = F.when((rate > 0) & (rate < float(max_rate or 1e300)), weight).otherwise(0.0)
         moved = members.withColumn("rate", _rate(start, steps, max_rate))
         sums = moved.agg(*(F.sum(weight * rate * F.col(f"p_{d}")) for d in names), *(F.sum(inside * F.col(f"p_{names[i]}") * F.col(f"p_{names[j]}")) for i, j in pair)).first()
         after = np.array([float(x) for x in sums[: len(names)]])
         now = float((after - want) @ safe @ (after - want)) / budget
-        if now > loss and metric is not safe:  # the step of the free documents went too far
+        if now > loss:  # too far: the step of the free documents gives way to the safe one, and that is halved
             steps.pop()
+            if metric is safe:
+                scale /= 2
             metric = safe
+            if scale < 1e-3:
+                break
             continue
-        done = np.abs(after - want).max() <= CLOSE * budget or loss - now <= CLOSE * CLOSE
-        got, loss = after, now
-        if done:
+        gained = loss - now
+        got, loss, scale = after, now, 1.0
+        if gained <= GAIN * loss:
             break
         free = np.zeros_like(gram)
         for (i, j), x in zip(pair, sums[len(names) :]):
             free[i, j] = free[j, i] = float(x)
         metric = np.linalg.inv(free + ridge)
+    else:
+        raise RuntimeError(f"rates did not settle in {STEPS} steps")
     return members.withColumn("rate", _rate(start, steps, max_rate))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, max_rate: float | None = None, base: str | None = None) -> DataFrame:
+def balance(rated: DataFrame, targets: Mapping[str, float] = TARGETS, max_rate: float | None = None, base: str | None = None) -> DataFrame:
+    """A row per domain: ``domain``, expected tokens ``available`` at rate 1, ``asked`` by the targets, ``reachable`` under ``max_rate``, and ``reached``."""
+    tokens = F.col("rows") * F.col("n_tokens")
+    sums = rated.agg(F.sum(tokens).alias("whole"), *(F.sum(tokens * F.col(f"p_{d}")).alias(f"have_{d}") for d in DOMAINS), *(F.sum(tokens * F.col("rate") * F.col(f"p_{d}")).alias(f"got_{d}") for d in DOMAINS))
+    total = sum(max(0.0, float(targets.get(d, 0.0))) for d in DOMAINS)
+    share = {d: max(0.0, float(targets.get(d, 0.0))) / total for d in DOMAINS}
+    budget = F.col(f"have_{base}") / share[base] if base and share[base] else F.col("whole").cast("double")
+    rows = []
+    for d in DOMAINS:
+        asked = budget * share[d]
+        most = F.least(asked, max_rate * F.col(f"have_{d}")) if max_rate is not None else asked
+        rows.append(F.struct(F.lit(d).alias("domain"), F.col(f"have_{d}").alias("available"), asked.alias("asked"), most.alias("reachable"), F.col(f"got_{d}").alias("reached")))
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, max_rate: float | None = None, base: str | None = None, reachable: bool = False) -> DataFrame:
     """``doc_id, th, rows, n_tokens, p_<domain>..., rate`` for each distinct (doc_id, text).
 
+    Repeated rows are one with their number; equal texts of different ids get equal rates. A very long text is one row's work, split once.
+
     A null text is empty and gets the prior; a null id is kept; an empty table gives no rows.
     """
     members = materialise(posteriors(docs, train(docs, labels)), "members")
-    return fit_rates(members, targets, max_rate=max_rate, base=base)
+    return fit_rates(members, targets, max_rate=max_rate, base=base, reachable=reachable)
 
 
 def draw(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """Each row of ``docs`` as often as its rate says: the whole part, and once more by a hash of id and text."""
-    own = docs.withColumn("mix th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    tag = uuid.uuid4().hex
+    own_th, key, th, n, copy = (f"{c}_{tag}" for c in ("own", "key", "th", "n", "copy"))
+    own = docs.withColumn(own_th, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     chance = F.pmod(F.xxhash64("doc_id", "th", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    times = rates.select(F.col("doc_id").alias("mix id"), F.col("th").alias("mix key"), F.floor(F.col("rate") + chance).cast("int").alias("mix n")).where(F.col("mix n") > 0)
-    out = own.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("mix id")) & (F.col("mix th") == F.col("mix key")))
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix n"))).alias("mix copy")).drop("mix copy")
+    times = rates.select(F.col("doc_id").alias(key), F.col("th").alias(th), F.floor(F.col("rate") + chance).cast("int").alias(n)).where(F.col(n) > 0)
+    out = own.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own_th) == F.col(th)))
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    return out.select(*columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy)).select(*columns)
 
 
 def summary(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import quoted
+
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_alpha_words", "n_upper_words", "n_dup_line_bytes", "n_bytes")
 
@@ -137,16 +139,16 @@ def apply_policy(entries: DataFrame, version: str = "v2") -> DataFrame:
 def keep(docs: DataFrame, version: str = "v2", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that a policy keeps, with all their columns, in one pass and without a shuffle."""
     tag = f"m{uuid.uuid4().hex[:8]}_"
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = np.array([measure(t.as_py()) for t in b.column(at).cast(pa.large_binary())], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], [*b.schema.names, *(tag + m for m in MEASURES)])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], [*names, *(tag + m for m in MEASURES)])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(tag + m, T.LongType()) for m in MEASURES)])
-    out = docs.mapInArrow(run, schema)
-    return out.where(failure_bits(rules, tag).bitwiseAND(F.lit(POLICIES[version])) == 0).select(*docs.columns)
+    out = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, schema)  # which can't pass on names with dots
+    return out.where(failure_bits(rules, tag).bitwiseAND(F.lit(POLICIES[version])) == 0).select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def ablation(entries: DataFrame, version: str = "v2", rules: tuple[Rule, ...] = RULES) -> DataFrame:

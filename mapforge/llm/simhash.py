@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, materialise
+from .common import components, materialise, quoted
 
 BITS, SHINGLE, SEED = 64, 3, 42
 #: Words handled at once, so that one very long text needs bounded memory.
@@ -128,13 +129,19 @@ def keep_one(docs: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """The row of ``docs`` with the least (doc_id, ``th``) of each root of ``rooted(doc_id, th, root)``, null ids last."""
+    """The row of ``docs`` with the least (doc_id, ``th``) of each root of ``rooted(doc_id, th, root)``, null ids last.
+
+    Of rows equal in id and text the one with the least hash of all columns stays. Names of columns do not matter.
+    """
+    tag = uuid.uuid4().hex
+    keep_id, keep_th, own_th, place = (f"{c}_{tag}" for c in ("id", "th", "own", "place"))
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("keep id"), F.col("first.th").alias("keep th"))
-    own = docs.withColumn("text hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = own.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("keep id")) & (F.col("text hash") == F.col("keep th")), "left_semi")
-    once = Window.partitionBy("doc_id", "text hash").orderBy(F.lit(1))
-    return kept.withColumn("keep rank", F.row_number().over(once)).where(F.col("keep rank") == 1).select(*docs.columns)
+    first = first.select(F.col("first.doc_id").alias(keep_id), F.col("first.th").alias(keep_th))
+    own = docs.withColumn(own_th, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = own.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & (F.col(own_th) == F.col(keep_th)), "left_semi")
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    once = Window.partitionBy("doc_id", own_th).orderBy(F.xxhash64(*columns))
+    return kept.withColumn(place, F.row_number().over(once)).where(F.col(place) == 1).select(*columns)
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = SHINGLE) -> DataFrame:
