@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +46,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are stored in here are deleted at its end, but for those handed to what it yields."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        made = _open.pop()
+        discard(*(df for df in made if not any(df is k for k in kept)))
+        if _open:
+            _open[-1].extend(kept)
+
+
 def discard(*stored: DataFrame) -> None:
     """Delete tables that ``materialise`` has stored and that nothing reads any more."""
     for df in stored:
@@ -76,6 +102,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     written to the shared folder, so that the lineage stays short and a lost executor costs one round.
     Null ends and self-links are ignored.
     """
+    with scratch() as keep:
+        return _stars(links, max_rounds, keep)
+
+
+def _stars(links: DataFrame, max_rounds: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
 
     def mark(df: DataFrame) -> tuple:
@@ -97,4 +128,5 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = after
     else:
         raise RuntimeError("components did not settle")
+    edges = keep(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT, materialise, quoted
+from .common import WORD_SPLIT, materialise, quoted, scratch
 
 #: Domains, each with what its labels say; the first that holds counts.
 DOMAINS = {"toxic": "toxic = 1", "low": "quality = 0", "clean": "quality = 1"}
@@ -25,12 +25,16 @@ DOMAINS = {"toxic": "toxic = 1", "low": "quality = 0", "clean": "quality = 1"}
 SAMPLE = 20_000
 #: In how many labelled documents a word (or other mark) occurs that the classifier is to know; fewer tell too little of it.
 LEAST_DOCS = 8
+#: A mark speaks for or against a domain where its number there is so many standard deviations from what chance makes likely; its share is then
+#: drawn towards the domain's by so many documents' worth. Without this the noise of hundreds of common words outweighs what a text says.
+SIGNIFICANT, PSEUDO = 5.0, 10.0
 #: Marks that are sent to all executors at most; more are joined by key.
 BROADCAST_MARKS = 200_000
-#: How much each mark's evidence counts, as marks of a text are not independent.
-EVIDENCE = 0.5
-#: Steps at most, how near all domains must come to their targets as a share of the budget, and by what share of the loss a step must improve it, for another to be taken.
-STEPS, CLOSE, GAIN = 200, 1e-6, 1e-5
+#: Steps at most; how near all domains must come to their targets, as a share of the budget; and what a step must gain for another
+#: to be taken, as a share of the loss or in all (the loss is about the square of how far the domains' shares are off).
+STEPS, CLOSE, GAIN, FLOOR = 100, 1e-6, 1e-4, 1e-8
+#: A domain with less than this share of the tokens takes no part in the fit: no rates can reach it.
+TRACE = 1e-9
 TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
 
 
@@ -87,8 +91,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     n = {d: of.get(d, 0) for d in DOMAINS}
     whole = sum(n.values())
     counts = seen.groupBy("mark").agg(F.count("*").alias("df"), *(F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in DOMAINS)).where(F.col("df") >= LEAST_DOCS)
-    weight = {d: F.log((F.col(f"n_{d}") + 0.5) / (n[d] + 1.0)) - F.log((F.col("df") + 0.5) / (whole + 1.0)) for d in DOMAINS}
-    known_marks = counts.select("mark", *(w.alias(f"w_{d}") for d, w in weight.items()))
+    share_of = {d: (n[d] + 1) / (whole + len(DOMAINS)) for d in DOMAINS}
+
+    def weight(d: str) -> Column:
+        own, df, q = F.col(f"n_{d}"), F.col("df"), share_of[d]
+        tells = F.abs(own - df * q) > 1 + SIGNIFICANT * F.sqrt(df * q * (1 - q))
+        return F.when(tells, F.log((own + PSEUDO * q) / (df + PSEUDO)) - float(np.log(q))).otherwise(0.0).alias(f"w_{d}")
+
+    known_marks = counts.select("mark", *map(weight, DOMAINS)).where(" or ".join(f"w_{d} <> 0" for d in DOMAINS))
     return Classifier(materialise(known_marks, "marks"), {d: float(np.log((n[d] + 1) / (whole + len(n)))) for d in DOMAINS})
 
 
@@ -105,16 +115,23 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
         F.count_if(F.col("mark").startswith(" symbols ")).alias("rows"), F.first("n_tokens").alias("n_tokens"), *(F.sum(f"w_{d}").alias(f"s_{d}") for d in DOMAINS)
     )
     # equal rows repeat their marks, which does not change what they say
-    logit = {d: F.lit(classifier.priors[d]) + EVIDENCE * F.coalesce(F.col(f"s_{d}") / F.col("rows"), F.lit(0.0)) for d in DOMAINS}
+    logit = {d: F.lit(classifier.priors[d]) + F.coalesce(F.col(f"s_{d}") / F.col("rows"), F.lit(0.0)) for d in DOMAINS}
     top = F.greatest(*logit.values())
     total = sum((F.exp(x - top) for x in logit.values()), F.lit(0.0))
     return found.select("doc_id", "th", "rows", "n_tokens", *((F.exp(x - top) / total).alias(f"p_{d}") for d, x in logit.items()))
 
 
-def _rate(start: float, steps: list[np.ndarray], max_rate: float | None) -> Column:
-    """A document's rate after ``steps``, each a number for every domain."""
+def _moved(rate: Column, step: np.ndarray, max_rate: float | None) -> Column:
+    """A document's rate after one more step, a number for every domain, within its bounds."""
+    down = sum((F.col(f"p_{d}") * float(x) for d, x in zip(DOMAINS, step)), F.lit(0.0))
+    r = F.greatest(F.lit(0.0), rate - down)
+    return F.least(F.lit(float(max_rate)), r) if max_rate is not None else r
+
+
+def _rate(start: Column, steps: list[np.ndarray], max_rate: float | None) -> Column:
+    """A document's rate after all ``steps``."""
     if not steps:
-        return F.lit(start)
+        return start
     flat = ",".join(repr(float(x)) for s in steps for x in s)
     p = [F.col(f"p_{d}") for d in DOMAINS]
     k = len(p)
@@ -125,7 +142,7 @@ def _rate(start: float, steps: list[np.ndarray], max_rate: float | None) -> Colu
         r = F.greatest(F.lit(0.0), r - down)
         return F.least(F.lit(float(max_rate)), r) if max_rate is not None else r
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(float(start)), go)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), start, go)
 
 
 def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None, max_rate: float | None = None, base: str | None = None, reachable: bool = False) -> DataFrame:
@@ -134,11 +151,11 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, budget
     Targets are scaled to add up to 1. The budget is given, or what makes domain ``base`` meet its target as it is,
     or all tokens. With ``reachable`` a domain's target is lowered to what ``max_rate`` lets it have, so that one that hardly occurs does not
     draw the others; ``balance`` tells by how much. Residuals are measured in the metric of the domains' inverse Gram matrix, in which the same
-    step suits small and large domains; steps use that of the documents whose rates are not at a bound while that helps, and a
-    step that makes the loss worse is halved. The fit ends at the tolerances ``CLOSE`` or ``GAIN``; if neither is met in ``STEPS`` steps it raises.
+    step suits small and large domains, or in that of the documents whose rates are not at a bound; each pass tries both in several lengths
+    and takes the best. The fit ends at the tolerances ``CLOSE``, ``GAIN`` or ``FLOOR``; if none is met in ``STEPS`` steps it raises.
     A document without tokens gets the start's rate, moved like any other's. An empty table stays empty.
     """
-    names = list(DOMAINS)
+    names, own = list(DOMAINS), f"rate_{uuid.uuid4().hex}"
     weight = F.col("rows") * F.col("n_tokens")
     pair = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     sums = members.agg(F.sum(weight).alias("t"), *(F.sum(weight * F.col(f"p_{d}")) for d in names), *(F.sum(weight * F.col(f"p_{names[i]}") * F.col(f"p_{names[j]}")) for i, j in pair)).first()
@@ -156,39 +173,45 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, budget
     want = share * budget
     if reachable and max_rate is not None:
         want = np.minimum(want, max_rate * have)
-    ridge = 1e-9 * tokens * np.eye(len(names))
-    safe = metric = np.linalg.inv(gram + ridge)
-    start = budget / tokens if max_rate is None else min(max_rate, budget / tokens)
+    live = have > TRACE * tokens
+    want = np.where(live, want, 0.0)
+
+    def inverse(g: np.ndarray) -> np.ndarray:
+        out, at = np.zeros_like(g), np.ix_(live, live)
+        out[at] = np.linalg.inv(g[at] + TRACE * tokens * np.eye(int(live.sum())))
+        return out
+
+    safe = metric = inverse(gram)
+    start = F.lit(budget / tokens if max_rate is None else min(max_rate, budget / tokens))
     steps: list[np.ndarray] = []
-    got, scale = have * start, 1.0
+    got, small = have * (budget / tokens if max_rate is None else min(max_rate, budget / tokens)), 1.0
     loss = float((got - want) @ safe @ (got - want)) / budget
     for _ in range(STEPS):
         off = got - want
         if np.abs(off).max() <= CLOSE * budget:
             break
-        steps.append(scale * (metric @ off))
-        rate = F.col("rate")
-        inside = F.when((rate > 0) & (rate < float(max_rate or 1e300)), weight).otherwise(0.0)
-        moved = members.withColumn("rate", _rate(start, steps, max_rate))
-        sums = moved.agg(*(F.sum(weight * rate * F.col(f"p_{d}")) for d in names), *(F.sum(inside * F.col(f"p_{names[i]}") * F.col(f"p_{names[j]}")) for i, j in pair)).first()
-        after = np.array([float(x) for x in sums[: len(names)]])
-        now = float((after - want) @ safe @ (after - want)) / budget
-        if now > loss:  # too far: the step of the free documents gives way to the safe one, and that is halved
-            steps.pop()
-            if metric is safe:
-                scale /= 2
-            metric = safe
-            if scale < 1e-3:
+        tried = [small * s * (m @ off) for m, s in ((metric, 1), (metric, 0.5), (safe, 1), (safe, 4), (safe, 16))]
+        moved = members.withColumn(own, _rate(start, steps, max_rate))
+        after = [_moved(F.col(own), c, max_rate) for c in tried]
+        sums = moved.agg(*(F.sum(weight * r * F.col(f"p_{d}")) for r in after for d in names)).first()
+        reached = [np.array([float(x) for x in sums[i * len(names) : (i + 1) * len(names)]]) for i in range(len(tried))]
+        losses = [float((x - want) @ safe @ (x - want)) / budget for x in reached]
+        best = int(np.argmin(losses))
+        if losses[best] >= loss:  # all went too far
+            small /= 8
+            if small < 1e-4:
                 break
             continue
-        gained = loss - now
-        got, loss, scale = after, now, 1.0
-        if gained <= GAIN * loss:
+        gained, small = loss - losses[best], 1.0
+        steps.append(tried[best])
+        got, loss = reached[best], losses[best]
+        if gained <= max(GAIN * loss, FLOOR):
             break
+        inside = F.when((after[best] > 0) & (after[best] < float(max_rate or 1e300)), weight).otherwise(0.0)
         free = np.zeros_like(gram)
-        for (i, j), x in zip(pair, sums[len(names) :]):
+        for (i, j), x in zip(pair, moved.agg(*(F.sum(inside * F.col(f"p_{names[i]}") * F.col(f"p_{names[j]}")) for i, j in pair)).first()):
             free[i, j] = free[j, i] = float(x)
-        metric = np.linalg.inv(free + ridge)
+        metric = inverse(free)
     else:
         raise RuntimeError(f"rates did not settle in {STEPS} steps")
     return members.withColumn("rate", _rate(start, steps, max_rate))
@@ -216,7 +239,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
 
     A null text is empty and gets the prior; a null id is kept; an empty table gives no rows.
     """
-    members = materialise(posteriors(docs, train(docs, labels)), "members")
+    with scratch() as keep:
+        members = keep(materialise(posteriors(docs, train(docs, labels)), "members"))
     return fit_rates(members, targets, max_rate=max_rate, base=base, reachable=reachable)
 
 

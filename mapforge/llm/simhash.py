@@ -125,18 +125,23 @@ def keep_one(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     """
     fps = materialise(_fingerprints_by_text(docs), "fingerprints")
     _, roots = _placed(fps, max_bits)
-    return keep_first(docs, fps.join(roots, "fp"))
+    return keep_first(docs, first_of(fps.join(roots, "fp")))
 
 
-def keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """The row of ``docs`` with the least (doc_id, ``th``) of each root of ``rooted(doc_id, th, root)``, null ids last.
+def first_of(rooted: DataFrame) -> DataFrame:
+    """``doc_id, th`` of the least (doc_id, ``th``) of each root of ``rooted(doc_id, th, root)``, null ids last."""
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    return first.select("first.doc_id", "first.th")
+
+
+def keep_first(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``first(doc_id, th)`` names.
 
     Of rows equal in id and text the one with the least hash of all columns stays. Names of columns do not matter.
     """
     tag = uuid.uuid4().hex
     keep_id, keep_th, own_th, place = (f"{c}_{tag}" for c in ("id", "th", "own", "place"))
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
-    first = first.select(F.col("first.doc_id").alias(keep_id), F.col("first.th").alias(keep_th))
+    first = first.select(F.col("doc_id").alias(keep_id), F.col("th").alias(keep_th))
     own = docs.withColumn(own_th, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     kept = own.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & (F.col(own_th) == F.col(keep_th)), "left_semi")
     columns = [F.col(quoted(c)) for c in docs.columns]
