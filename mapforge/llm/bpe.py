@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 NONE = np.int32(1 << 30)
 #: Distinct words whose ids a worker remembers, and words whose trees are built together.
 CACHE, TOGETHER = 350_000, 1 << 15
@@ -191,7 +193,8 @@ def default_vocabulary() -> tuple[str, str]:
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``doc_id, ids array<int>, decoded`` for every row, without a shuffle. A null text counts as empty.
 
-    Special tokens in a text are ids of their own, as the tokenizers library does by default.
+    Special tokens in a text are ids of their own, as the tokenizers library does by default. Repeated rows are encoded as rows, an empty
+    table gives none, and a very long text is one row's work, word by word.
     """
     own = default_vocabulary()
     where = path or own[0], pattern or own[1]
@@ -201,6 +204,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         for b in batches:
             ids = bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
+            del ids
+            give_back()
 
     return _rows(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

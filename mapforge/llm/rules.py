@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted
+from .common import give_back, quoted
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_alpha_words", "n_upper_words", "n_dup_line_bytes", "n_bytes")
@@ -112,6 +112,9 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = np.array([measure(t.as_py()) for t in b.column(1).cast(pa.large_binary())], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], ["doc_id", *MEASURES])
 
+            del b, rows
+            give_back()
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
 
@@ -146,6 +149,9 @@ def keep(docs: DataFrame, version: str = "v2", rules: tuple[Rule, ...] = RULES)
             rows = np.array([measure(t.as_py()) for t in b.column(at).cast(pa.large_binary())], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], [*names, *(tag + m for m in MEASURES)])
 
+            del b, rows
+            give_back()
+
     schema = T.StructType([*docs.schema.fields, *(T.StructField(tag + m, T.LongType()) for m in MEASURES)])
     out = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, schema)  # which can't pass on names with dots
     return out.where(failure_bits(rules, tag).bitwiseAND(F.lit(POLICIES[version])) == 0).select(*(F.col(quoted(c)) for c in docs.columns))
