@@ -88,22 +88,48 @@ def apply(ops: DataFrame, c: Catalog, mode: str = "auto") -> tuple[Catalog, Data
     return Catalog(types, grown(c.attributes, "add_attribute", {"datatype": F.col("datatype"), "required": F.lit(False)}), grown(c.relationships, "add_relationship", {"range": F.col("range")})), log
 
 
-def project(cells: DataFrame, decisions: DataFrame, c: Catalog, subject: str) -> DataFrame:
-    """``row, id, type, attributes, relationships`` of the entities that rows are.
-
-    ``cells(row, column, v)`` are stripped values. Values of the subject's attributes go to it; a relationship's value
-    names an entity unless it says that there is none; values for another type are grouped to one entity of the
-    row, and linked by the subject's first relationship to that type, in place of a like-named one.
-    """
+def _uses(decisions: DataFrame, c: Catalog, subject: str) -> DataFrame:
+    """``column, position, disposition, target, owner, name, range``: what each deciding column says; ``name`` is null where its target is not in the catalog."""
     d = F.col("disposition")
     owner = F.when(d == "reuse", F.substring_index("target", ".", 1)).otherwise(F.coalesce("on_type", F.lit(subject)))
     bare = F.when(d == "reuse", F.expr("substring(target, instr(target, '.') + 1)")).otherwise(F.coalesce("new_name", "column"))
-    use = decisions.where(d.isin("reuse", "new_attribute", "new_relationship")).select("column", "position", "disposition", owner.alias("owner"), bare.alias("name"), F.col("new_range"))
+    use = decisions.where(d.isin("reuse", "new_attribute", "new_relationship")).select("column", "position", "disposition", "target", owner.alias("owner"), bare.alias("name"), F.col("new_range"))
     rel = c.relationships.select(F.lower("owner").alias("ro"), F.lower("name").alias("rn"), F.col("range").alias("r"))
     att = c.attributes.select(F.lower("owner").alias("ao"), F.lower("name").alias("an"), F.col("name").alias("a"))
     use = use.join(rel, (F.lower("owner") == F.col("ro")) & (F.lower("name") == F.col("rn")) & (d == "reuse"), "left").join(att, (F.lower("owner") == F.col("ao")) & (F.lower("name") == F.col("an")), "left")
     target = F.when(d == "new_relationship", F.coalesce("new_range", F.lit("Unknown"))).otherwise(F.col("r"))
-    use = use.select("column", "position", "owner", F.when(target.isNull() & (d == "reuse"), F.col("a")).otherwise(F.col("name")).alias("name"), target.alias("range")).where("name is not null")
+    return use.select("column", "position", "disposition", "target", "owner", F.when(target.isNull() & (d == "reuse"), F.col("a")).otherwise(F.col("name")).alias("name"), target.alias("range"))
+
+
+def skipped(cells: DataFrame, decisions: DataFrame, c: Catalog, subject: str) -> DataFrame:
+    """``row, position, column, reason`` of what ``project`` leaves out, and of grouped entities that nothing links."""
+    rows = cells.select("row").distinct()
+    d = F.col("disposition")
+    why = F.when(d == "exclude", F.concat(F.lit("excluded: "), F.array_join("gates_fired", ", "))).when(d == "escalate", "unresolved escalation at projection time")
+    out = decisions.where(why.isNotNull()).select("position", "column", why.alias("reason")).join(rows)  # a row a column and row shown
+    use = _uses(decisions, c, subject)
+    lost = use.where("name is null").select("position", "column", F.concat(F.lit("reuse target '"), "target", F.lit("' not found in ontology")).alias("reason")).join(rows)
+    v = cells.join(use.where("name is not null"), "column")
+    shown = F.when(F.col("v").isNull(), "''").otherwise(F.concat(F.lit("'"), "v", F.lit("'")))
+    sentinel = v.where(F.col("range").isNotNull() & names.is_sentinel(F.col("v"))).select("row", "position", "column", F.concat(F.lit("sentinel/empty relationship value ("), shown, F.lit(")")).alias("reason"))
+    empty = v.where(F.col("range").isNull() & F.col("v").isNull()).select("row", "position", "column", F.lit("empty value").alias("reason"))
+    first = c.relationships.where(F.lower("owner") == subject.lower()).select(F.lower("range").alias("to")).distinct()
+    other = v.where(F.col("range").isNull() & F.col("v").isNotNull() & (F.lower("owner") != subject.lower())).groupBy("row", "owner").agg(F.min("position").alias("at"))
+    loose = other.join(first, F.lower("owner") == F.col("to"), "left_anti")
+    text = F.concat(F.lit(f"no relationship from {subject} to "), "owner", F.lit(" in the ontology; sub-entity built but not linked"))
+    loose = loose.select("row", (F.col("at") + (1 << 20)).cast("int").alias("position"), F.concat(F.lit("(grouped:"), "owner", F.lit(")")).alias("column"), text.alias("reason"))
+    names_ = ["row", "position", "column", "reason"]
+    return out.select(*names_).unionByName(lost.select(*names_)).unionByName(sentinel).unionByName(empty).unionByName(loose)
+
+
+def project(cells: DataFrame, decisions: DataFrame, c: Catalog, subject: str) -> DataFrame:
+    """``row, id, type, attributes, relationships`` of the entities that rows are.
+
+    ``cells(row, column, v)`` are stripped values. Values of the subject's attributes go to it; a relationship's value
+    names an entity unless it says that there is none; values for another type are grouped to one entity of the
+    row, and linked by the subject's first relationship to that type, in place of a like-named one.
+    """
+    use = _uses(decisions, c, subject).where("name is not null")
     v = cells.join(use, "column").where("v is not null")
     own = (F.lower("owner") == subject.lower()) & F.col("range").isNull()
     literal = v.where(own).select("row", "name", "v", "position")

@@ -34,6 +34,7 @@ class Mapped:
     log: DataFrame
     catalog: C.Catalog
     entities: DataFrame
+    skipped: DataFrame
     n_cards: int
 
 
@@ -78,10 +79,20 @@ def _mapped(
     errors = kept(patch.validate(ops, catalog))
     after, log = patch.apply(ops, catalog, mode if errors.isEmpty() else "none")
     after = C.Catalog(kept(after.types), kept(after.attributes), kept(after.relationships))
-    head = table.limit(rows).select(F.monotonically_increasing_id().alias("at"), *(F.col(f"`{c}`") for c in header))
-    numbered = head.select(F.row_number().over(Window.orderBy("at")).alias("row"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), stripped(F.col(f"`{c}`")).alias("v")) for c in header))).alias("c"))
-    entities = patch.project(numbered.select("row", "c.column", "c.v"), done, after, subject.name)
-    return Mapped(name, subject, prof, done, asked, ops, errors, log, after, entities, cards.count())
+    cells = kept(first_cells(table, header, rows, row))
+    entities = patch.project(cells, done, after, subject.name)
+    skipped = patch.skipped(cells, done, after, subject.name)
+    return Mapped(name, subject, prof, done, asked, ops, errors, log, after, entities, skipped, cards.count())
+
+
+def first_cells(table: DataFrame, header: Sequence[str], rows: int, row: str | None = None) -> DataFrame:
+    """``row, column, v`` of the first ``rows`` rows, numbered from 1; by ``row`` where given, else by their place in the table."""
+    at = F.col(f"`{row}`").cast("long") if row else F.monotonically_increasing_id()
+    values = F.array(*(F.struct(F.lit(c).alias("column"), stripped(F.col(f"`{c}`")).alias("v")) for c in header))
+    head = table.select(at.alias("at"), values.alias("cells"))
+    head = (head.orderBy("at") if row else head).limit(rows)  # rows are numbered before their cells are spread
+    numbered = head.select(F.row_number().over(Window.orderBy("at")).alias("row"), "cells")
+    return numbered.select("row", F.explode("cells").alias("c")).select("row", "c.column", "c.v")
 
 
 def run(spark: SparkSession, catalog: C.Catalog, tables: Sequence[tuple[str, DataFrame]], answers: DataFrame | None = None, budget: int = V.BUDGET, mode: str = "auto", proposer: Callable[[DataFrame], DataFrame] = decide.propose) -> list[Mapped]:

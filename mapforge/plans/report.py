@@ -45,6 +45,42 @@ def markdown(m: Mapped, row_count: int) -> DataFrame:
     return parts.select(F.concat(F.lit(head), rows, F.lit("\n\n"), lists, F.lit("\n")).alias("value"))
 
 
+def patch_json(m: Mapped) -> DataFrame:
+    """One row ``value``: the ops in order as a JSON array, without what is not set."""
+    fields = [f for f in m.ops.columns if f not in ("seq", "op")]
+    own = F.to_json(F.struct("op", *fields), {"ignoreNullFields": "true"})
+    return m.ops.agg(F.array_sort(F.collect_list(F.struct("seq", own.alias("j")))).alias("x")).select(F.concat(F.lit("["), F.array_join(F.transform("x", lambda o: o["j"]), ","), F.lit("]")).alias("value"))
+
+
+def sample_rows(m: Mapped) -> DataFrame:
+    """``row, entities, skipped`` of the rows shown: the subject first, then what it is linked to."""
+    entity = F.struct(F.when(F.col("id") == F.concat(F.lit(f"{m.subject.name}:"), F.col("row").cast("string")), 0).otherwise(1).alias("o"), "id", "type", F.array_sort(F.map_entries("attributes")).alias("a"), F.array_sort(F.map_entries("relationships")).alias("r"))
+    one = m.entities.groupBy("row").agg(F.array_sort(F.collect_list(entity)).alias("e"))
+    plain = F.transform("e", lambda e: F.struct(e["id"].alias("id"), e["type"].alias("type"), F.map_from_entries(e["a"]).alias("attributes"), F.map_from_entries(e["r"]).alias("relationships")))
+    left = m.skipped.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("position", "column", "reason"))).alias("s"))
+    none = F.expr("cast(array() as array<struct<column string, reason string>>)")
+    said = F.coalesce(F.transform("s", lambda x: F.struct(x["column"].alias("column"), x["reason"].alias("reason"))), none)
+    return one.join(left, "row", "left").select("row", plain.alias("entities"), said.alias("skipped"))
+
+
+def report_json(m: Mapped, row_count: int) -> DataFrame:
+    """One row ``value``: a table's report with its columns, questions, flags, rows and counts."""
+    d, four = m.decisions, lambda c: F.round(c, 4)
+    signals = lambda c: F.struct(*(four(c[n]).alias(n) for n in ("bm25", "embedding", "datatype_prior", "shape_prior")), F.when(c["aliased_from"].isNotNull(), 1.0).alias("aliased_from_twin"))
+    found = F.transform("candidates", lambda c: F.struct(c["doc_id"].alias("id"), four(c["score"]).alias("score"), signals(c).alias("signals")))
+    column = F.struct("position", "column", "disposition", "target", four(F.col("confidence")).alias("confidence"), "decided_by", "gates_fired", F.coalesce("escalated", F.lit(False)).alias("escalated"), F.coalesce("downgraded", F.lit(False)).alias("downgraded_from_escalation"), found.alias("retrieval"))
+    columns = d.agg(F.array_sort(F.collect_list(F.struct("position", F.to_json(column, {"ignoreNullFields": "true"}).alias("j")))).alias("x"))
+    after = d.where("id is not null").select(F.col("id").alias("q"), "answer", "source", F.concat_ws(" -> ", "disposition", F.when(F.col("disposition") == "reuse", F.col("target"))).alias("resulting_decision"))
+    asked = m.questions.join(after, F.col("id") == F.col("q")).select(F.struct("id", "question", "answer", "source", "resulting_decision").alias("s")).agg(F.array_sort(F.collect_list("s")).alias("escalations"))
+    flags = m.ops.where("op = 'flag_ontology_issue'").agg(F.array_sort(F.collect_list(F.struct("seq", "target", "issue", "severity"))).alias("f"))
+    rows = sample_rows(m).agg(F.array_sort(F.collect_list(F.struct("row", F.to_json(F.struct("row", "entities", "skipped")).alias("j")))).alias("r"))
+    stats = counters([m]).select(F.struct("reused", "new", "excluded", "escalated").alias("stats"))
+    text = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda o: o["j"]), ","), F.lit("]"))
+    whole = columns.join(asked).join(flags).join(rows).join(stats)  # one row each
+    head = F.to_json(F.struct(F.lit(m.name).alias("csv"), F.lit(row_count).alias("row_count"), F.struct(F.lit(m.subject.name).alias("name"), F.lit(not m.subject.is_new).alias("reused"), F.lit(m.subject.confidence).alias("confidence")).alias("subject_type"), "escalations", F.transform("f", lambda x: F.struct(x["target"].alias("target"), x["issue"].alias("issue"), x["severity"].alias("severity"))).alias("ontology_issues"), "stats"))
+    return whole.withColumn("h", head).select(F.concat(F.expr("left(h, length(h) - 1)"), F.lit(',"columns":'), text("x"), F.lit(',"sample_rows":'), text("r"), F.lit("}")).alias("value"))
+
+
 def summary(runs: Sequence[Mapped]) -> DataFrame:
     """One row ``csvs, totals``: the counts of every table in order, and their sums."""
     n = counters(runs).withColumn("columns", F.col("reused") + F.col("new") + F.col("excluded"))

@@ -26,6 +26,11 @@ def stem(path: str, index: int) -> str:
     return f"{index}_{re.sub(r'^[0-9]+_', '', path.rsplit('/', 1)[-1].rsplit('.', 1)[0])}"
 
 
+def write_text(df: DataFrame, path: str) -> None:
+    """One document per row ``value``, as it is."""
+    df.select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON document per row; null fields are left out."""
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
