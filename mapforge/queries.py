@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import names
 from .functions import vocabulary as V
-from .operators import decide, search
+from .operators import catalog, decide, patch, search
 from .operators.graph import connected_components
 from .operators.profile import profile, stripped
+from .plans import mapping, run
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,12 +78,6 @@ _profile_query("junk_prefilter", "nation", ["n_nationkey", "n_name", "n_regionke
 WORDS = "list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^0-9a-zA-Z]+', ' ', 'g')), ' '), lambda x: x <> '')"
 
 
-@query("select o_orderpriority, o_orderkey from (select o_orderpriority, o_orderkey, row_number() over (partition by o_orderpriority order by o_orderkey) as rn from orders) where rn <= 5")
-def sample_values_first5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderkey")
-    return t(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", F.row_number().over(w).alias("rn")).where("rn <= 5").drop("rn")
-
-
 @query(f"select p_partkey, array_to_string({WORDS.format('p_name')}, ' ') as tokens from part")
 def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", F.array_join(names.split_name(F.col("p_name")), " ").alias("tokens"))
@@ -132,9 +126,9 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(scored, 8).select("query_id", "doc_id", "rank")
 
 
-@query(_BM25 + " select query_id, doc_id, round(case when m > 0 then bm25 / m else 0 end, 4) as bm25 from (select *, max(bm25) over (partition by query_id) as m from s) where bm25 >= 0.5 * m")
+@query(_BM25 + " select query_id, doc_id, round(case when m > 0 then bm25 / m else 0 end, 4) as bm25 from (select *, max(bm25) over (partition by query_id) as m from s) ")
 def bm25_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.normalised(_bm25(spark, sf_dir)).where("bm25 >= 0.5").select("query_id", "doc_id", F.round("bm25", 4).alias("bm25"))
+    return search.normalised(_bm25(spark, sf_dir)).select("query_id", "doc_id", F.round("bm25", 4).alias("bm25"))
 
 
 _COS = "greatest(0, list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) / sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])))"
@@ -148,39 +142,6 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(near, 5).select("query_id", "doc_id", "rank")
 
 
-@query("select o.o_orderkey, o.o_custkey from orders o left join customer c on o.o_custkey = c.c_custkey where c.c_custkey is null or c.c_acctbal < 0")
-def unresolved_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = t(spark, sf_dir, "customer").where("not c_acctbal < 0").select("c_custkey")
-    return t(spark, sf_dir, "orders").join(good, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey", "o_custkey")
-
-
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
-def orphan_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "customer").join(t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
-
-
-@query("select p_partkey, p_name from part where p_partkey in (select l_partkey from lineitem where l_quantity > 45)")
-def semi_join_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "part").join(t(spark, sf_dir, "lineitem").where("l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_name")
-
-
-@query("select r_name, n_name, count(c_custkey) as customers from region join nation on n_regionkey = r_regionkey left join customer on c_nationkey = n_nationkey group by all")
-def scope_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hop = t(spark, sf_dir, "region").join(t(spark, sf_dir, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return hop.join(t(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("r_name", "n_name").agg(F.count("c_custkey").alias("customers"))
-
-
-@query("select p_brand, arg_min(p_partkey, (-p_retailprice, p_partkey)) as p_partkey, round(max(p_retailprice), 2) as price from part group by p_brand")
-def alias_argmax_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = F.min_by("p_partkey", F.struct((-F.col("p_retailprice")).alias("s"), "p_partkey"))
-    return t(spark, sf_dir, "part").groupBy("p_brand").agg(best.alias("p_partkey"), F.round(F.max("p_retailprice"), 2).alias("price"))
-
-
-@query("select s_nationkey, arg_min(s_suppkey, (-s_acctbal, s_suppkey)) as richest from supplier group by s_nationkey")
-def richness_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min_by("s_suppkey", F.struct((-F.col("s_acctbal")).alias("a"), "s_suppkey")).alias("richest"))
-
-
 @query("select o_custkey, round(max(p) - coalesce(max(case when rn = 2 then p end), 0), 2) as margin from (select o_custkey, o_totalprice as p, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders) group by o_custkey")
 def score_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = search.top_k(t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score")), 2)
@@ -196,56 +157,6 @@ def escalation_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.with_budget(d, 2, ["o_custkey"]).select("o_custkey", F.col("position").alias("o_orderkey"), "downgraded")
 
 
-@query("select conv_id, turn, row_number() over (partition by conv_id order by turn, role, text) as q from conversations")
-def question_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    return t(spark, sf_dir, "conversations").select("conv_id", "turn", q.alias("q"))
-
-
-@query("select conv_id, turn, count(*) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as earlier from conversations")
-def prior_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.count("*").over(w).alias("earlier"))
-
-
-@query("select user_id, event_id, count(*) over (partition by user_id order by event_id rows unbounded preceding) as calls from events")
-def cumulative_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(w).alias("calls"))
-
-
-@query("select l_returnflag, count(*) as n, count(*) filter (l_discount > 0.05) as reused, count(*) filter (l_quantity < 10) as excluded from lineitem group by l_returnflag")
-def report_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("reused"), F.count_if(F.col("l_quantity") < 10).alias("excluded"))
-
-
-@query("select doc_id, coalesce(case when quality is not null then 'file' end, 'default') as source from documents left join labels using (doc_id)")
-def answers_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = t(spark, sf_dir, "documents").select("doc_id")
-    return docs.join(t(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.when(F.col("quality").isNotNull(), "file").otherwise("default").alias("source"))
-
-
-@query("select doc_id, sha256(text) as key from documents")
-def content_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("key"))
-
-
-_GATE = "case when l_discount >= 0.09 then 'datatype_conflict' when l_tax < 0.01 then 'low_confidence' when l_quantity >= 48 then 'near_duplicate' when l_quantity < 3 then 'vacuous_source' end"
-
-
-@query(f"select l_orderkey, l_linenumber, {_GATE} as gate from lineitem where {_GATE} is not null")
-def strongest_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fired = {"vacuous_source": F.col("l_quantity") < 3, "near_duplicate": F.col("l_quantity") >= 48, "low_confidence": F.col("l_tax") < 0.01, "datatype_conflict": F.col("l_discount") >= 0.09}
-    own = F.array_min(F.array_compact(F.array(*(F.when(c, F.struct(F.lit(V.GATE_PRIORITY[g]).alias("p"), F.lit(g).alias("gate"))) for g, c in fired.items()))))
-    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", own["gate"].alias("gate")).where("gate is not null")
-
-
-@query("select c_custkey, 'Customer:' || c_custkey as id, 'Place:' || n_name || '|' || c_mktsegment as place from customer join nation on c_nationkey = n_nationkey where lower(trim(c_mktsegment)) not in ('direct', 'n/a', '-', 'none', 'unknown', '')")
-def project_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = t(spark, sf_dir, "customer").join(t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return own.where(~names.is_sentinel(F.col("c_mktsegment"))).select("c_custkey", F.concat(F.lit("Customer:"), "c_custkey").alias("id"), F.concat(F.lit("Place:"), "n_name", F.lit("|"), "c_mktsegment").alias("place"))
-
-
 @query("with recursive e as (select o_custkey as a, -l_suppkey as b from orders join lineitem on l_orderkey = o_orderkey where l_quantity = 50 and o_orderpriority = '1-URGENT'), u as (select a, b from e union select b, a from e), r as (select distinct a as node, a as component from u union select u.b, r.component from r join u on u.a = r.node) select node, min(component) as component from r group by node")
 def linked_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, line = t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), t(spark, sf_dir, "lineitem").where("l_quantity = 50")
@@ -270,3 +181,154 @@ def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id, event_id, case when length(trim(event_type)) > 0 then trim(event_type) end as v from events")
 def stripped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "events").select("user_id", "event_id", stripped(F.col("event_type")).alias("v"))
+
+
+@query("select name, string_agg(v, '|' order by first) as samples from (select *, row_number() over (partition by name order by first) as rn from (select name, v, min(o_orderkey) as first from (select 'o_orderpriority' as name, o_orderpriority as v, o_orderkey from orders union all select 'o_orderstatus', o_orderstatus, o_orderkey from orders union all select 'o_custkey', cast(o_custkey as varchar), o_orderkey from orders) group by name, v)) where rn <= 5 group by name")
+def profile_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey")
+    return profile(o, "o_orderkey").select("name", F.array_join("samples", "|").alias("samples"))
+
+
+@query("select l_orderkey, target, round(score, 2) as score, aliased_from from (select l_orderkey, target, max(score) as score, nullif(arg_min(case when aliased then card else '' end, (-score, l_linenumber)), '') as aliased_from from (select l_orderkey, l_linenumber, l_discount as score, 'c' || l_linenumber as card, l_linenumber % 2 = 0 as aliased, case when l_linenumber % 2 = 0 then 'c1' else 'c' || l_linenumber end as target from lineitem) group by l_orderkey, target)")
+def merge_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of an order's lines; every second one is a twin of the first."""
+    zero = F.lit(0.0)
+    scored = t(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("query_id"), F.concat(F.lit("c"), "l_linenumber").alias("card_id"), F.col("l_discount").alias("score"), F.col("l_linenumber").alias("ord"),
+        F.when(F.col("l_linenumber") % 2 == 0, "c1").alias("aliased_to"), zero.alias("bm25"), zero.alias("embedding"), zero.alias("datatype_prior"), zero.alias("shape_prior"),
+    )
+    return search.merge_aliases(scored).select(F.col("query_id").alias("l_orderkey"), F.col("doc_id").alias("target"), F.round("score", 2).alias("score"), "aliased_from")
+
+
+@query("with m as (select s_name as name, s_nationkey, coalesce(n, 0) as n, coalesce(d, 0) as d from supplier left join (select l_suppkey, count(*) as n, count(*) filter (l_returnflag = 'R') as d from lineitem where l_linenumber = 7 group by l_suppkey) on l_suppkey = s_suppkey), b as (select s_nationkey, arg_min(name, (-n, -d, name)) as canonical from m group by s_nationkey) select name, canonical from m join b using (s_nationkey) where name <> canonical")
+def canonical_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as types, seventh lines of orders as their attributes, and all of a nation as twins of its first."""
+    s = t(spark, sf_dir, "supplier")
+    own = t(spark, sf_dir, "lineitem").where("l_linenumber = 7").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    none = F.lit(None).cast("string")
+    types = s.select(F.col("s_suppkey").cast("int").alias("t"), F.col("s_name").alias("name"), F.lit("").alias("description"))
+    attributes = own.select(F.col("s_suppkey").cast("int").alias("t"), F.col("s_name").alias("owner"), F.col("l_orderkey").cast("int").alias("i"), F.concat(F.lit("a"), "l_orderkey").alias("name"), F.lit("string").alias("datatype"), F.lit(False).alias("required"), F.when(F.col("l_returnflag") == "R", "returned").otherwise("").alias("description"), none.alias("aligned_with"))
+    relationships = attributes.where("false").select("t", "owner", "i", "name", none.alias("range"), "description", "aligned_with")
+    first = s.groupBy("s_nationkey").agg(F.min_by("s_name", "s_suppkey").alias("a"))
+    pairs = s.join(first, "s_nationkey").select("a", F.col("s_name").alias("b")).where("a <> b")
+    return catalog.canonical_types(catalog.Catalog(types, attributes, relationships), pairs)
+
+
+_CARDS = [("T.a0", "attribute", "string", False), ("T.a1", "attribute", "integer", False), ("T.a2", "attribute", "date", False), ("T.a3", "attribute", "string", True), ("T.r0", "relationship", None, False)]
+_GATES_SQL = """
+with c(id, kind, dt, vac) as (values ('T.a0', 'attribute', 'string', false), ('T.a1', 'attribute', 'integer', false), ('T.a2', 'attribute', 'date', false), ('T.a3', 'attribute', 'string', true), ('T.r0', 'relationship', null, false)),
+p as (select p_partkey as k, (p_partkey * 7) % 128 / 128.0::double as top, greatest(0, (p_partkey * 7) % 128 - p_size % 40) / 128.0::double as second, (p_partkey * 13) % 128 / 128.0::double as confidence,
+  case when p_partkey % 11 = 0 then 'Date ' else 'c' || p_partkey end as col, case p_size % 3 when 0 then 'string' when 1 then 'integer' else 'date' end as q, p_size % 15 = 0 as ft,
+  case p_partkey % 4 when 2 then 'new_attribute' when 3 then case when p_partkey % 3 = 0 then 'escalate' else 'new_relationship' end else 'reuse' end as d,
+  case p_partkey % 7 when 4 then 'T.r0' when 5 then 'T.zz' when 6 then 'T.a0' else 'T.a' || p_partkey % 7 end as goal, 'T.a' || p_partkey % 4 as id1 from part),
+j as (select p.*, d = 'reuse' as reuse, d like 'new_%' as new, c1.kind as k1, c1.dt as t1, g.id as gid, g.kind as gk, g.dt as gt, coalesce(g.vac, false) as gv from p left join c c1 on c1.id = id1 left join c g on g.id = goal and d = 'reuse'),
+f as (select *, case when t1 = q then 1 when q in ('integer') and t1 = 'string' then 0 when q = 'string' and t1 = 'integer' then case when ft then 0 else 0.15 end when q = 'string' or t1 = 'string' then 0.15 else 0 end = 0 as clash1,
+  case when gt = q then 1 when q in ('integer') and gt = 'string' then 0 when q = 'string' and gt = 'integer' then case when ft then 0 else 0.15 end when q = 'string' or gt = 'string' then 0.15 else 0 end = 0 as clash from j),
+n as (select *, new and top >= case when clash1 then 0.55 else 0.62 end as near from f),
+g as (select k, list_filter([case when near then 'near_duplicate' end, case when new and top >= 0.5 and top - second < 0.05 and not near then 'score_margin_ambiguous' end, case when reuse and gk = 'attribute' and clash then 'datatype_conflict' end,
+  case when reuse and gk = 'relationship' and (q <> 'string' or ft) then 'kind_mismatch' end, case when reuse and goal = 'T.r0' and top - second >= 0.15 then 'retrieval_override' end, case when new and lower(trim(col)) = 'date' then 'vacuous_source' end,
+  case when reuse and gv then 'vacuous_target' end, case when confidence < 0.55 then 'low_confidence' end, case when reuse and gid is null then 'unknown_target' end, case when d = 'escalate' then 'llm_escalate' end], lambda x: x is not null) as gates, d from n)
+select k as p_partkey, array_to_string(gates, ',') as gates, case when list_contains(gates, 'vacuous_target') then 'new_attribute' else d end as disposition,
+  (select arg_min(x, (pr, i)) from (select unnest(gates) as x, generate_subscripts(gates, 1) as i) join (values ('datatype_conflict', 0), ('kind_mismatch', 0), ('unknown_target', 0), ('low_confidence', 1), ('llm_escalate', 1), ('near_duplicate', 2), ('retrieval_override', 2), ('score_margin_ambiguous', 3), ('vacuous_source', 3)) v(n, pr) on n = x) as strongest from g"""
+
+
+def _proposed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Proposals for columns made of parts, such that every gate fires for some, and the cards they are about."""
+    cards = spark.createDataFrame(_CARDS, "card_id string, kind string, datatype string, vacuous boolean")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    text = lambda x: x.cast("string")
+    none = F.lit(None).cast("string")
+    raw = k * 7 % 128
+    d = F.when(k % 4 == 2, "new_attribute").when((k % 4 == 3) & (k % 3 == 0), "escalate").when(k % 4 == 3, "new_relationship").otherwise("reuse")
+    goal = F.when(k % 7 == 4, "T.r0").when(k % 7 == 5, "T.zz").when(k % 7 == 6, "T.a0").otherwise(F.concat(F.lit("T.a"), text(k % 7)))
+    candidates = F.array(F.struct(F.concat(F.lit("T.a"), text(k % 4)).alias("doc_id"), (raw / 128).alias("score")), F.struct(F.lit("T.r0").alias("doc_id"), (F.greatest(F.lit(0), raw - s % 40) / 128).alias("score")))
+    proposal = F.struct(d.alias("disposition"), F.when(d == "reuse", goal).alias("target"), none.alias("new_name"), none.alias("new_datatype"), none.alias("new_range"), none.alias("on_type"), (k * 13 % 128 / 128).alias("confidence"))
+    p = t(spark, sf_dir, "part").select(
+        F.when(k % 11 == 0, "Date ").otherwise(F.concat(F.lit("c"), text(k))).alias("column"), k.alias("position"), F.when(s % 3 == 0, "string").when(s % 3 == 1, "integer").otherwise("date").alias("datatype"), (s % 15 == 0).alias("freetext"),
+        F.array().cast("array<string>").alias("samples"), candidates.alias("candidates"), F.lit("T").alias("subject"), proposal.alias("proposal"), F.lit(0.0).alias("score_margin"),
+    )
+    top = cards.select(F.col("card_id").alias("top_id"), F.col("kind").alias("top_kind"), F.col("datatype").alias("top_datatype"))
+    return p.join(F.broadcast(top), F.get("candidates", 0)["doc_id"] == F.col("top_id")), cards
+
+
+@query(_GATES_SQL)
+def gates_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proposed, cards = _proposed(spark, sf_dir)
+    return decide.gates(proposed, cards).select(F.col("position").alias("p_partkey"), F.array_join("gates_fired", ",").alias("gates"), "disposition", F.col("escalation_gate").alias("strongest"))
+
+
+_ANSWERS = "case o_orderkey % 6 when 1 then 'exclude' when 2 then 'reuse:T.b' when 3 then 'new:n' when 4 then 'other: take t.A please' when 5 then 'as you like' end"
+
+
+@query(f"with a as (select o_orderkey, {_ANSWERS} as a, o_custkey % 2 = 0 as linked from orders) select o_orderkey, case when a is null then 'new_attribute' when a = 'exclude' then 'exclude' when a like 'reuse:%' or a like 'other:%' then 'reuse' when a like 'new:%' and linked then 'new_relationship' else 'new_attribute' end as disposition, case when a like 'reuse:%' then 'T.b' when a like 'other:%' then 'T.a' end as target, case when a like 'new:%' then 'n' else 'c' end as new_name, case when a is null then 'rule' else 'human' end as decided_by from a")
+def answers_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every form of answer: kept, excluded, reused, new, free text that names a candidate, and free text that names none."""
+    o, none = t(spark, sf_dir, "orders"), F.lit(None).cast("string")
+    linked = F.when(F.col("o_custkey") % 2 == 0, "T")
+    proposal = F.struct(F.lit("new_attribute").alias("disposition"), none.alias("target"), F.lit("c").alias("new_name"), F.lit("string").alias("new_datatype"), linked.alias("new_range"), F.lit("T").alias("on_type"), F.lit(0.6).alias("confidence"))
+    column = F.col("o_orderkey").cast("string")
+    decisions = o.select("o_orderkey", column.alias("column"), F.array(F.struct(F.lit("T.a").alias("doc_id"))).alias("candidates"), F.lit("T").alias("subject"), F.lit("string").alias("datatype"), proposal.alias("proposal"), *(proposal[c].alias(c) for c in decide.DECISION))
+    asked = o.select(F.concat(F.lit("q"), column).alias("id"), column.alias("column"), F.lit("keep_original").alias("default"))
+    answers = o.select(F.concat(F.lit("q"), column).alias("id"), F.expr(_ANSWERS.replace("o_orderkey % 6 when", "int(o_orderkey % 6) when")).alias("answer")).where("answer is not null")
+    return decide.resolve(decisions, asked, answers).select("o_orderkey", "disposition", "target", "new_name", "decided_by")
+
+
+def _small_catalog(spark: SparkSession) -> catalog.Catalog:
+    """Customers in places, of parties."""
+    types = spark.createDataFrame([(0, "Customer", ""), (1, "Place", ""), (2, "Party", "")], "t int, name string, description string")
+    attributes = spark.createDataFrame([(0, "Customer", 0, "name", "string", True, "", None), (0, "Customer", 1, "size", "string", False, "", None), (1, "Place", 0, "city", "string", False, "", None), (1, "Place", 1, "code", "integer", False, "", None)], "t int, owner string, i int, name string, datatype string, required boolean, description string, aligned_with string")
+    relationships = spark.createDataFrame([(0, "Customer", 0, "located_in", "Place", "", None), (0, "Customer", 1, "member_of", "Party", "", None)], "t int, owner string, i int, name string, range string, description string, aligned_with string")
+    return catalog.Catalog(types, attributes, relationships)
+
+
+@query("""
+with o as (select p_partkey as k, case p_partkey % 5 when 0 then 'reuse' when 1 then 'add_attribute' when 2 then 'add_relationship' when 3 then 'add_type' else 'flag_ontology_issue' end as op, p_size % 6 as v from part)
+select k as p_partkey, op, unnest(list_filter([case when v = 5 then 'confidence is not within 0 and 1' end, case when op = 'reuse' and v in (1, 5) then 'target does not exist' end, case when op like 'add_a%' and v = 1 or op like 'add_r%' and v = 1 then 'on_type does not exist' end,
+  case when op = 'add_attribute' and v = 2 then 'attribute exists' end, case when op = 'add_relationship' and v = 2 then 'relationship exists' end, case when op = 'add_attribute' and v = 3 then 'datatype is unknown' end, case when op = 'add_relationship' and v = 3 then 'range does not exist' end,
+  case when op in ('add_attribute', 'add_relationship') and v = 4 then 'name is not snake_case' end, case when op = 'add_type' and v = 4 then 'name is not PascalCase' end, case when op = 'add_type' and v = 2 then 'type exists' end, case when op = 'flag_ontology_issue' and v = 3 then 'severity is unknown' end], lambda x: x is not null)) as error from o""")
+def validate_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops made of parts, with every error for some."""
+    k, v = F.col("p_partkey"), F.col("p_size") % 6
+    op = F.when(k % 5 == 0, "reuse").when(k % 5 == 1, "add_attribute").when(k % 5 == 2, "add_relationship").when(k % 5 == 3, "add_type").otherwise("flag_ontology_issue")
+    own = op.isin("add_attribute", "add_relationship")
+    fresh = F.when(v == 4, "Bad Name").when((v == 2) & (op == "add_attribute"), "Name").when((v == 2) & (op == "add_relationship"), "located_in").otherwise("brand_new")
+    fresh = F.when((v == 2) & (op == "add_attribute"), "name").otherwise(fresh)
+    ops = t(spark, sf_dir, "part").select(
+        k.cast("int").alias("seq"), op.alias("op"), F.when(op == "reuse", F.when(v.isin(1, 5), "Nothing.there").when(v == 2, "Place").otherwise("customer.NAME")).alias("target"),
+        F.when(own, F.when(v == 1, "Nothing").otherwise("customer")).alias("on_type"), F.when(own, fresh).when(op == "add_type", F.when(v == 4, "bad_name").when(v == 2, "Place").otherwise(F.concat(F.lit("New"), k.cast("string")))).alias("name"),
+        F.when(op == "add_attribute", F.when(v == 3, "decimal").otherwise("integer")).alias("datatype"), F.when(op == "add_relationship", F.when(v == 3, "Nothing").otherwise("party")).alias("range"),
+        F.when(op == "flag_ontology_issue", F.when(v == 3, "fatal").otherwise("error")).alias("severity"), F.when(v == 5, 1.5).otherwise(0.5).alias("confidence"),
+    )
+    return patch.validate(ops, _small_catalog(spark)).select(F.col("seq").cast("long").alias("p_partkey"), "op", "error")
+
+
+_ROWS_SQL = """
+with c as (select c_custkey as k, c_name as nm, case when c_custkey % 5 = 0 then null else n_name end as city, cast(c_nationkey as varchar) as code, case when c_custkey % 7 = 0 then 'N/A' else c_mktsegment end as seg from customer join nation on n_nationkey = c_nationkey),
+p as (select *, 'Place:' || concat_ws('|', city, code) as pid, seg <> 'N/A' as told from c)
+select k as row, 'Customer:' || k as id, 'Customer' as type, 'name=' || nm as attributes, 'located_in=' || pid || case when told then ';member_of=Party:' || seg else '' end as relationships from p
+union all select k, pid, 'Place', case when city is not null then 'city=' || city || ';' else '' end || 'code=' || code, '' from p union all select k, 'Party:' || seg, 'Party', 'name=' || seg, '' from p where told"""
+
+
+@query(_ROWS_SQL)
+def project_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers as entities: literals, a group of two columns, and a named party unless it says that there is none."""
+    c = t(spark, sf_dir, "customer").join(t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    cell = lambda name, v: F.struct(F.lit(name).alias("column"), v.alias("v"))
+    cells = c.select(F.col("c_custkey").alias("row"), F.explode(F.array(cell("who", F.col("c_name")), cell("town", F.when(F.col("c_custkey") % 5 != 0, F.col("n_name"))), cell("area", F.col("c_nationkey").cast("string")), cell("club", F.when(F.col("c_custkey") % 7 == 0, "N/A").otherwise(F.col("c_mktsegment"))))).alias("c")).select("row", "c.column", "c.v")
+    none = None
+    said = [("who", 0, "reuse", "Customer.name", none, none, none), ("town", 1, "reuse", "Place.city", none, none, none), ("area", 2, "new_attribute", none, "code", "Place", none), ("club", 3, "reuse", "Customer.member_of", none, none, none)]
+    decisions = spark.createDataFrame(said, "column string, position int, disposition string, target string, new_name string, on_type string, new_range string")
+    flat = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias(m)
+    return patch.project(cells, decisions, _small_catalog(spark), "Customer").select("row", "id", "type", flat("attributes"), flat("relationships"))
+
+
+@query('select * from (values (1, \'1_vendors.csv\', 6, 1, 0, 1), (2, \'2_product_catalog.csv\', 4, 3, 0, 0), (3, \'3_crm_export.csv\', 3, 3, 3, 2)) v(seq, "table", reused, new, excluded, escalated)')
+def mapping_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedded tables mapped from profile to projection; its SQL is what the rules give for them by hand."""
+    return mapping.counters(mapping.example(spark))
+
+
+@query()
+def mapping_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of the embedded tables as linked entities."""
+    return run.projected(mapping.example(spark))

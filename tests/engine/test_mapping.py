@@ -66,10 +66,10 @@ def test_catalog_survives_nesting(first):
     assert again.attributes.count() == first.catalog.attributes.count() and again.types.count() == 7
 
 
-@pytest.mark.parametrize("name", ["profile_customer", "sample_values_first5", "split_names", "score_margin", "escalation_budget", "strongest_gate"])
+@pytest.mark.parametrize("name", ["profile_customer", "profile_samples", "split_names", "score_margin", "escalation_budget", "merge_aliases", "canonical_types", "gates_fired", "answers_resolved", "validate_ops", "project_rows", "mapping_counters"])
 def test_queries_give_the_rows_of_their_sql(spark, name):
     con = duckdb.connect()
-    for table in ("customer", "orders", "part", "lineitem"):
+    for table in ("customer", "orders", "part", "lineitem", "supplier", "nation"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     cols = ", ".join(f'"{c}"' for c in got.columns)
