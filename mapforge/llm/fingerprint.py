@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import materialise, n_partitions
 
 BUCKETS = 512
-#: Offsets of the second and third byte of a triplet from its first.
-TRIPLETS = ((2, 3),)
+#: Bytes of the sliding window, and the offsets of the second and third byte of each of its triplets that begin with its first byte:
+#: those that do not begin there belong to a later window.
+WINDOW = 5
+TRIPLETS = tuple((i, j) for i in range(1, WINDOW - 1) for j in range(i + 1, WINDOW))
 #: Bytes hashed at once; longer texts go in steps, so memory is bounded.
 STEP = 1 << 20
 #: Difference of two bucket quartiles; the ends are farther apart than their distance tells.

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, quoted
+from .common import give_back, materialise, quoted
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_alpha_words", "n_upper_words", "n_dup_line_bytes", "n_bytes")
@@ -174,7 +174,15 @@ def ablation(entries: DataFrame, version: str = "v2", rules: tuple[Rule, ...] =
 
 
 def judged(docs: DataFrame, version: str = "v2") -> DataFrame:
-    """One row per document: the contract's columns, then the ledger's bits."""
-    out = apply_policy(ledger(docs), version)
+    """One row per document: the contract's columns, then what the stored ledger tells.
+
+    The ledger is written once; the policy, the older one (``kept_v1``) and the ablation are read off it. Where a single rule rejects
+    a document under the policy, ``sole_rule`` names it and ``n_sole`` is how many documents would come back without it.
+    Very long texts are one row's work; repeated rows are judged alike.
+    """
+    entries = materialise(ledger(docs), "ledger")
+    sole = ablation(entries, version).select(F.col("bit").alias("sole_bit"), F.col("rule").alias("sole_rule"), F.col("n_only").alias("n_sole"))
+    out = apply_policy(entries, version).withColumn("kept_v1", F.col("failed_bits").bitwiseAND(F.lit(POLICIES["v1"])) == 0)
+    out = out.join(F.broadcast(sole), F.col("failed_bits").bitwiseAND(F.lit(POLICIES[version])) == F.col("sole_bit"), "left")  # a row a rule
     base = F.col("failed_bits").bitwiseAND(F.lit(BASE)) != 0
-    return out.select("doc_id", *MEASURES[:5], base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), "failed_bits")
+    return out.select("doc_id", *MEASURES[:5], base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), "failed_bits", "kept_v1", "sole_rule", "n_sole")
