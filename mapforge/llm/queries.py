@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, katz, lines, mixing, rules, simhash, subtrees, suffix_runs, warc
+from . import bpe, fingerprint, katz, lines, mixing, rules, simhash, sql, subtrees, suffix_runs, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,4 +71,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLE)
