@@ -71,16 +71,28 @@ def richness(c: Catalog) -> DataFrame:
     return c.types.join(n, F.col("name") == F.col("owner"), "left").select("name", F.coalesce("members", F.lit(0)).alias("members"), (F.coalesce("d", F.lit(0)) + own).alias("described"))
 
 
-def near_duplicate_types(c: Catalog) -> DataFrame:
+def lifted(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``pairs`` with ``score`` lifted to the threshold where it falls just short of it and both types' ``vectors(name, vector)`` are close."""
+    of = lambda c: vectors.select(F.col("name").alias(f"{c}_name"), F.col("vector").alias(f"{c}_vector"))
+    both = pairs.join(of("a"), F.col("a") == F.col("a_name"), "left").join(of("b"), F.col("b") == F.col("b_name"), "left")
+    close = F.coalesce(names.cosine(F.col("a_vector"), F.col("b_vector")) >= V.RESCUE_COSINE, F.lit(False))
+    short = (F.col("score") >= V.NEAR_DUPLICATE_RESCUE) & (F.col("score") < V.NEAR_DUPLICATE) & close
+    return both.withColumn("score", F.when(short, V.NEAR_DUPLICATE).otherwise(F.col("score"))).drop("a_name", "a_vector", "b_name", "b_vector")
+
+
+def near_duplicate_types(c: Catalog, vectors: DataFrame | None = None) -> DataFrame:
     """``a, b, name_similarity, overlap, score`` of pairs of types that look alike, the best first.
 
-    Every pair of types is compared, as names alone can make them alike; types are few.
+    Every pair of types is compared, as names alone can make them alike; types are few. ``vectors(name, vector)``, embeddings
+    of a type's name and description, lift pairs that fall just short.
     """
     ids = c.attributes.groupBy("owner").agg(F.collect_set(names.canonical_id(F.col("name"))).alias("ids"))
     own = c.types.join(ids, F.col("name") == F.col("owner"), "left").select("t", "name", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
     a, b = own.select(F.col("t").alias("ta"), F.col("name").alias("a"), F.col("ids").alias("ia")), own.select(F.col("t").alias("tb"), F.col("name").alias("b"), F.col("ids").alias("ib"))
     pairs = a.join(b, F.col("ta") < F.col("tb")).select("a", "b", names.name_similarity(F.col("a"), F.col("b")).alias("name_similarity"), names.jaccard(F.col("ia"), F.col("ib")).alias("overlap"))
-    return pairs.withColumn("score", 0.5 * F.col("name_similarity") + 0.5 * F.col("overlap")).where(F.col("score") >= V.NEAR_DUPLICATE).orderBy(F.desc("score"), "a", "b")
+    scored = pairs.withColumn("score", 0.5 * F.col("name_similarity") + 0.5 * F.col("overlap"))
+    scored = scored if vectors is None else lifted(scored, vectors)
+    return scored.where(F.col("score") >= V.NEAR_DUPLICATE).orderBy(F.desc("score"), "a", "b")
 
 
 def canonical_types(c: Catalog, pairs: DataFrame | None = None) -> DataFrame:

@@ -40,12 +40,13 @@ def decide_subject(spark: SparkSession, file_name: str, header: Sequence[str], c
     return Subject(type_name(file_name), True, 0.5)
 
 
-Proposer = Callable[[DataFrame], DataFrame]
+#: Adds ``proposal`` to columns with their candidates; the cards are the catalog's.
+Proposer = Callable[[DataFrame, DataFrame], DataFrame]
 
 DECISION = ("disposition", "target", "new_name", "new_datatype", "new_range", "on_type", "confidence")
 
 
-def propose(columns: DataFrame) -> DataFrame:
+def propose(columns: DataFrame, cards: DataFrame | None = None) -> DataFrame:
     """Reuse of the best candidate if it is good enough, else a new attribute of the subject."""
     good = F.coalesce(F.col("top.score") >= V.REUSE_SCORE, F.lit(False))
     return columns.withColumn("proposal", F.struct(
@@ -133,8 +134,31 @@ def with_budget(decisions: DataFrame, budget: int = V.BUDGET, of: Sequence[str]
     return d.withColumns({**back, "gates_fired": F.when(over, F.array_append("gates_fired", F.lit("budget"))).otherwise(F.col("gates_fired")), "downgraded": over, "escalated": F.col("escalated") & ~over}).drop("place")
 
 
+def explanation() -> Column:
+    """Why a decision is doubted, with the figures that its strongest gate saw."""
+    first, second = F.get("candidates", 0), F.get("candidates", 1)
+    told = {
+        "near_duplicate": F.format_string("a new concept is proposed, yet %s scores %.2f; the confidence of %.2f does not weigh against that", first["doc_id"], first["score"], F.col("confidence")),
+        "datatype_conflict": F.format_string("the values are of datatype %s, which that of %s does not hold", F.col("datatype"), F.col("target")),
+        "unknown_target": F.format_string("%s is not in the catalog", F.col("target")),
+        "low_confidence": F.format_string("the confidence of %.2f is below %.2f", F.col("confidence"), F.lit(V.LOW_CONFIDENCE)),
+        "score_margin_ambiguous": F.format_string("%s (%.2f) and %s (%.2f) are almost level", first["doc_id"], first["score"], second["doc_id"], second["score"]),
+        "kind_mismatch": F.format_string("%s is a relationship, the values are no names of entities", F.col("target")),
+        "retrieval_override": F.format_string("%s is proposed, far below the first that was found, %s (%.2f)", F.col("target"), first["doc_id"], first["score"]),
+        "vacuous_source": F.format_string("the name '%s' tells nothing", F.col("column")),
+        "llm_escalate": F.lit("the proposal is to ask"),
+    }
+    return F.coalesce(*(F.when(F.col("escalation_gate") == g, c) for g, c in told.items()), F.lit("-"))
+
+
+def context() -> Column:
+    """What helps to answer: samples, datatype, the three best candidates and the proposal, as JSON."""
+    found = F.transform(F.slice("candidates", 1, 3), lambda c: F.struct(c["doc_id"].alias("id"), F.round(c["score"], 4).alias("score")))
+    return F.to_json(F.struct(F.slice("samples", 1, 5).alias("samples"), F.col("datatype").alias("inferred_datatype"), found.alias("candidates"), F.struct("disposition", "target", "new_name", "confidence").alias("proposed")))
+
+
 def questions(decisions: DataFrame, csv: int | Column) -> DataFrame:
-    """``id, column, gate, options, default, ...`` for every decision that still asks, numbered by position."""
+    """``id, column, gate, question, options, default, why, context`` for every decision that still asks, numbered by position."""
     n = F.row_number().over(Window.orderBy("position"))
     top = F.get("candidates", 0)["doc_id"]
     gate = F.col("escalation_gate")
@@ -143,7 +167,7 @@ def questions(decisions: DataFrame, csv: int | Column) -> DataFrame:
     name = F.coalesce("new_name", "column")
     options = F.array_compact(F.array(F.when(top.isNotNull(), F.concat(F.lit("reuse:"), top)), F.concat(F.lit("new:"), name), F.lit("exclude"), F.lit("other: <free text>")))
     text = F.concat(F.lit("Column '"), F.col("column"), F.lit("': the proposal is "), F.col("disposition"), F.lit(" "), F.coalesce("target", name), F.lit(". Is that right?"))
-    return decisions.where("escalated").select(F.concat(F.lit("csv"), (F.lit(csv) if isinstance(csv, int) else csv).cast("string"), F.lit(".q"), n.cast("string")).alias("id"), "column", gate.alias("gate"), text.alias("question"), options.alias("options"), default.alias("default"))
+    return decisions.where("escalated").select(F.concat(F.lit("csv"), (F.lit(csv) if isinstance(csv, int) else csv).cast("string"), F.lit(".q"), n.cast("string")).alias("id"), "column", gate.alias("gate"), text.alias("question"), options.alias("options"), default.alias("default"), explanation().alias("why"), context().alias("context"))
 
 
 def resolve(decisions: DataFrame, asked: DataFrame, answers: DataFrame, human: bool = False) -> DataFrame:

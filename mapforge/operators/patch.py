@@ -26,6 +26,15 @@ def from_decisions(decisions: DataFrame) -> DataFrame:
     )
 
 
+def described() -> Column:
+    """An op in one line."""
+    own = F.concat_ws(".", "on_type", "name")
+    text = F.when(F.col("op") == "reuse", F.concat("source_column", F.lit(" -> "), "target")).when(F.col("op") == "add_attribute", F.concat(own, F.lit(" ("), "datatype", F.lit(")")))
+    text = text.when(F.col("op") == "add_relationship", F.concat(own, F.lit(" -> "), "range")).when(F.col("op") == "add_type", F.col("name")).when(F.col("op") == "exclude", F.col("source_column"))
+    text = text.when(F.col("op") == "flag_ontology_issue", F.concat(F.lit("["), "severity", F.lit("] "), "target", F.lit(": "), "issue"))
+    return F.concat_ws(": ", "op", text)
+
+
 def validate(ops: DataFrame, c: Catalog) -> DataFrame:
     """``seq, op, error``: everything wrong with ops against the catalog as it was; none means well-formed.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +61,7 @@ def _mapped(
     cards = kept(C.cards(catalog, canonical=canonical))
     header = [c for c in table.columns if c != row]
     subject = decide.decide_subject(spark, name, header, cards)
-    mapped = decide.with_budget(decide.gates(proposer(decide.with_candidates(prof, cards, subject.name)), cards), budget)
+    mapped = decide.with_budget(decide.gates(proposer(decide.with_candidates(prof, cards, subject.name), cards), cards), budget)
     mapped = kept(mapped)
     asked = kept(decide.questions(mapped, index))
     done = decide.resolve(mapped, asked, answers)
@@ -95,7 +95,7 @@ def first_cells(table: DataFrame, header: Sequence[str], rows: int, row: str | N
     return numbered.select("row", F.explode("cells").alias("c")).select("row", "c.column", "c.v")
 
 
-def run(spark: SparkSession, catalog: C.Catalog, tables: Sequence[tuple[str, DataFrame]], answers: DataFrame | None = None, budget: int = V.BUDGET, mode: str = "auto", proposer: Callable[[DataFrame], DataFrame] = decide.propose) -> list[Mapped]:
+def run(spark: SparkSession, catalog: C.Catalog, tables: Sequence[tuple[str, DataFrame]], answers: DataFrame | None = None, budget: int = V.BUDGET, mode: str = "auto", proposer: decide.Proposer = decide.propose) -> list[Mapped]:
     """Map tables in order. What the audit finds in the catalog goes with the first table's changes."""
     answers = answers if answers is not None else files.read_answers(spark, None)
     out: list[Mapped] = []

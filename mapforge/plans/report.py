@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.patch import described
 from .mapping import Mapped, counters
 
 COUNTED = ("columns", "reused", "new", "excluded", "escalated")
@@ -45,6 +47,27 @@ def markdown(m: Mapped, row_count: int) -> DataFrame:
     return parts.select(F.concat(F.lit(head), rows, F.lit("\n\n"), lists, F.lit("\n")).alias("value"))
 
 
+def transcript(m: Mapped) -> DataFrame:
+    """Lines ``value`` of what was done to a table, in order: columns, questions with their answers, ops, counts."""
+    line = lambda df, step, at, c: df.select(F.lit(step).alias("s"), at.cast("long").alias("at"), c.alias("value"))
+    state = "new" if m.subject.is_new else "reused"
+    none = F.lit(0)
+    head = m.decisions.sparkSession.range(1)
+    decided = F.concat(F.lit("column "), "column", F.lit(": "), "disposition", F.lit(" "), F.coalesce("target", "new_name", F.lit("-")), F.lit(" confidence="), F.coalesce(F.format_string("%.2f", "confidence"), F.lit("-")), F.lit(" gates="), F.array_join(F.coalesce("gates_fired", F.expr("cast(array() as array<string>)")), ","))
+    said = m.decisions.where("id is not null").select(F.col("id").alias("q"), "answer", "source")
+    asked = m.questions.join(said, F.col("id") == F.col("q"))
+    counted = counters([m]).select(F.concat_ws(", ", *(F.concat(F.lit(f"{c}="), c) for c in COUNTED[1:])).alias("n"))
+    steps = [
+        line(head, 0, none, F.lit(f"== {m.name}: {m.subject.name} ({state})")),
+        line(m.decisions, 1, F.col("position"), decided),
+        line(asked, 2, F.substring_index("id", "q", -1), F.concat(F.lit("question "), "id", F.lit(": "), "question", F.lit(" Why: "), "why", F.lit(" Answer ("), "source", F.lit("): "), "answer")),
+        line(m.ops, 3, F.col("seq"), F.concat(F.lit("op "), described())),
+        line(m.errors, 4, F.col("seq"), F.concat(F.lit("error in "), "op", F.lit(": "), "error")),
+        line(counted, 5, none, F.col("n")),
+    ]
+    return functools.reduce(DataFrame.union, steps).orderBy("s", "at", "value").select("value")
+
+
 def patch_json(m: Mapped) -> DataFrame:
     """One row ``value``: the ops in order as a JSON array, without what is not set."""
     fields = [f for f in m.ops.columns if f not in ("seq", "op")]
@@ -71,7 +94,7 @@ def report_json(m: Mapped, row_count: int) -> DataFrame:
     column = F.struct("position", "column", "disposition", "target", four(F.col("confidence")).alias("confidence"), "decided_by", "gates_fired", F.coalesce("escalated", F.lit(False)).alias("escalated"), F.coalesce("downgraded", F.lit(False)).alias("downgraded_from_escalation"), found.alias("retrieval"))
     columns = d.agg(F.array_sort(F.collect_list(F.struct("position", F.to_json(column, {"ignoreNullFields": "true"}).alias("j")))).alias("x"))
     after = d.where("id is not null").select(F.col("id").alias("q"), "answer", "source", F.concat_ws(" -> ", "disposition", F.when(F.col("disposition") == "reuse", F.col("target"))).alias("resulting_decision"))
-    asked = m.questions.join(after, F.col("id") == F.col("q")).select(F.struct("id", "question", "answer", "source", "resulting_decision").alias("s")).agg(F.array_sort(F.collect_list("s")).alias("escalations"))
+    asked = m.questions.join(after, F.col("id") == F.col("q")).select(F.struct("id", "question", "why", "context", "answer", "source", "resulting_decision").alias("s")).agg(F.array_sort(F.collect_list("s")).alias("escalations"))
     flags = m.ops.where("op = 'flag_ontology_issue'").agg(F.array_sort(F.collect_list(F.struct("seq", "target", "issue", "severity"))).alias("f"))
     rows = sample_rows(m).agg(F.array_sort(F.collect_list(F.struct("row", F.to_json(F.struct("row", "entities", "skipped")).alias("j")))).alias("r"))
     stats = counters([m]).select(F.struct("reused", "new", "excluded", "escalated").alias("stats"))

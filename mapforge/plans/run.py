@@ -19,7 +19,7 @@ def run(
 ) -> list[mapping.Mapped]:
     """Map the CSV files ``tables``, in order, onto the catalog in ``ontology`` and write what came of it below ``out``.
 
-    For each file ``<n>_<name>.patch.json``, ``.report.json`` and ``.report.md``; for all ``final_ontology.json`` and ``run_summary.json``.
+    For each file ``<n>_<name>.patch.json``, ``.report.json``, ``.report.md`` and ``.transcript.txt``; for all ``final_ontology.json`` and ``run_summary.json``.
     Each is a folder with one part, as Spark writes them.
     """
     read = [(path.rsplit("/", 1)[-1], files.read_csv(spark, path)) for path in tables]
@@ -27,7 +27,7 @@ def run(
     for i, (m, path) in enumerate(zip(done, tables), 1):
         name = f"{out.rstrip('/')}/{files.stem(path, i)}"
         rows = m.profile.agg(F.max("row_count")).first()[0] or 0
-        for kind, text in (("patch.json", report.patch_json(m)), ("report.json", report.report_json(m, rows)), ("report.md", report.markdown(m, rows))):
+        for kind, text in (("patch.json", report.patch_json(m)), ("report.json", report.report_json(m, rows)), ("report.md", report.markdown(m, rows)), ("transcript.txt", report.transcript(m))):
             files.write_text(text, f"{name}.{kind}")
     if done:
         files.write_json(C.nest(done[-1].catalog), f"{out.rstrip('/')}/final_ontology.json")

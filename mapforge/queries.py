@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import names
 from .functions import vocabulary as V
-from .operators import catalog, decide, patch, search
+from .operators import catalog, decide, patch, prompt, search
 from .operators.graph import connected_components
 from .operators.profile import profile, stripped
 from .plans import mapping, run
+from .sources import models
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -332,3 +333,66 @@ def mapping_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mapping_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows of the embedded tables as linked entities."""
     return run.projected(mapping.example(spark))
+
+
+@query("select conv_id, turn, left(regexp_replace('chat_' || role || '_' || text, '[^a-zA-Z0-9_]+', '_', 'g'), 80) as tag from conversations")
+def request_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", models.tag(F.lit("chat"), F.col("role"), F.col("text")).alias("tag"))
+
+
+@query("select n_nationkey, sha256('{\"base_url\":\"u\",\"model\":\"m\",\"text\":\"' || n_name || '\"}') as key from nation")
+def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "nation").select("n_nationkey", models.content_key(("model", F.lit("m")), ("text", F.col("n_name")), ("base_url", F.lit("u"))).alias("key"))
+
+
+@query("select o_custkey, 'column c' || o_custkey || ' (string) values: ' || array_to_string(list(distinct o_orderpriority order by o_orderpriority)[1:3], ', ') as asked from orders group by o_custkey")
+def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("samples"))
+    return o.select("o_custkey", prompt.query_text(F.concat(F.lit("c"), "o_custkey"), F.lit("string"), F.col("samples")).alias("asked"))
+
+
+@query("select o_orderkey, string_agg('- k' || o_orderkey || ': ' || case when o_orderstatus = 'F' then 'reuse -> ' || o_orderpriority else 'new_attribute -> n' || o_orderkey end, chr(10)) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding) as prior from orders")
+def prior_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as the columns of a table."""
+    key, reused = F.col("o_orderkey"), F.col("o_orderstatus") == "F"
+    d = t(spark, sf_dir, "orders").select("o_custkey", key.alias("position"), F.concat(F.lit("k"), key).alias("column"), F.when(reused, "reuse").otherwise("new_attribute").alias("disposition"), F.when(reused, F.col("o_orderpriority")).alias("target"), F.concat(F.lit("n"), key).alias("new_name"))
+    return prompt.prior_decisions(d, ["o_custkey"]).select(F.col("position").alias("o_orderkey"), "prior")
+
+
+@query("select o_orderstatus as status, cast(sum(n) over w as bigint) as calls, cast(sum(k) over w as bigint) as cached_calls, cast(sum(p) over w as bigint) as prompt_tokens, cast(sum(c) over w as bigint) as completion_tokens from (select o_orderstatus, count(*) as n, count(*) filter (o_custkey % 3 = 0) as k, coalesce(sum(o_custkey) filter (o_custkey % 3 <> 0), 0) as p, coalesce(sum(o_orderkey % 7) filter (o_custkey % 3 <> 0), 0) as c, min(o_orderkey) as o from orders group by o_orderstatus) window w as (order by o, o_orderstatus rows unbounded preceding)")
+def model_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as calls of models, those of every third customer answered from the cache, added up over the tables (statuses)."""
+    o = t(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), "o_orderkey", (F.col("o_custkey") % 3 == 0).alias("cached"), F.col("o_custkey").alias("prompt_tokens"), (F.col("o_orderkey") % 7).alias("completion_tokens"))
+    return models.usage(o, "status", order="o_orderkey")
+
+
+@query("select p_partkey, case p_partkey % 6 when 0 then 'reuse: ' || p_name || ' -> T.a' when 1 then 'add_attribute: T.' || p_brand || ' (integer)' when 2 then 'add_relationship: T.' || p_brand || ' -> R' when 3 then 'add_type: ' || p_brand when 4 then 'exclude: ' || p_name else 'flag_ontology_issue: [warning] T.a: ' || p_type end as line from part")
+def op_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 6
+    op = F.when(k == 0, "reuse").when(k == 1, "add_attribute").when(k == 2, "add_relationship").when(k == 3, "add_type").when(k == 4, "exclude").otherwise("flag_ontology_issue")
+    ops = t(spark, sf_dir, "part").select("p_partkey", op.alias("op"), F.col("p_name").alias("source_column"), F.lit("T.a").alias("target"), F.when(k.isin(1, 2), "T").alias("on_type"), F.col("p_brand").alias("name"), F.lit("integer").alias("datatype"), F.lit("R").alias("range"), F.lit("warning").alias("severity"), F.col("p_type").alias("issue"))
+    return ops.select("p_partkey", patch.described().alias("line"))
+
+
+@query("with v as (select 'v' || vec_id as name, embedding::double[] as e from embeddings), p as (select p_partkey, p_partkey % 100 / 100.0::double as score, 'v' || p_partkey % 100 as a, 'v' || p_size % 100 as b from part) select p_partkey, case when score >= 0.4 and score < 0.5 and list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e)) / sqrt(list_dot_product(y.e, y.e)) >= 0.8 then 0.5 else score end as score from p left join v x on x.name = a left join v y on y.name = b")
+def near_duplicates_lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pairs of types with the stored embeddings for their texts."""
+    name = lambda c: F.concat(F.lit("v"), c.cast("string"))
+    vectors = t(spark, sf_dir, "embeddings").select(name(F.col("vec_id")).alias("name"), F.col("embedding").alias("vector"))
+    pairs = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 100 / 100).alias("score"), name(F.col("p_partkey") % 100).alias("a"), name(F.col("p_size") % 100).alias("b"))
+    return catalog.lifted(pairs, vectors).select("p_partkey", "score")
+
+
+_WHY = """with g as (select * from (values {values}) v(k, gate))
+select p_partkey, case gate when 'near_duplicate' then 'a new concept is proposed, yet T.a scores 0.75; the confidence of 0.50 does not weigh against that' when 'datatype_conflict' then 'the values are of datatype integer, which that of T.b does not hold' when 'unknown_target' then 'T.b is not in the catalog'
+  when 'low_confidence' then 'the confidence of 0.50 is below 0.55' when 'score_margin_ambiguous' then 'T.a (0.75) and T.b (0.50) are almost level' when 'kind_mismatch' then 'T.b is a relationship, the values are no names of entities' when 'retrieval_override' then 'T.b is proposed, far below the first that was found, T.a (0.75)'
+  when 'vacuous_source' then 'the name ''' || p_name || ''' tells nothing' else 'the proposal is to ask' end as why from part join g on k = p_partkey % {n}"""
+
+
+@query(_WHY.format(values=", ".join(f"({i}, '{g}')" for i, g in enumerate(V.GATE_PRIORITY)), n=len(V.GATE_PRIORITY)))
+def question_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as doubted columns, every gate for some."""
+    gate = F.element_at(F.array(*map(F.lit, V.GATE_PRIORITY)), (F.col("p_partkey") % len(V.GATE_PRIORITY) + 1).cast("int"))
+    found = F.array(F.struct(F.lit("T.a").alias("doc_id"), F.lit(0.75).alias("score")), F.struct(F.lit("T.b").alias("doc_id"), F.lit(0.5).alias("score")))
+    d = t(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("column"), gate.alias("escalation_gate"), found.alias("candidates"), F.lit(0.5).alias("confidence"), F.lit("integer").alias("datatype"), F.lit("T.b").alias("target"))
+    return d.select("p_partkey", decide.explanation().alias("why"))

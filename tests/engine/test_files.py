@@ -50,6 +50,9 @@ def test_files(done):
     assert [c["column"] for c in one["columns"]] == TABLES["1_vendors.csv"].split("\n")[0].split(",")
     assert one["escalations"][0]["source"] == "file" and one["escalations"][0]["answer"] == "new:employee_count"
     assert one["sample_rows"][0]["entities"][0]["id"] == "Organization:1"
+    assert one["escalations"][0]["why"] and json.loads(one["escalations"][0]["context"])["candidates"]
+    told = written(out, "1_vendors.transcript.txt").splitlines()
+    assert told[0].startswith("== 1_vendors.csv: Organization") and any(x.startswith("question csv1.q1: ") for x in told) and told[-1].startswith("reused=6")
     ops = json.loads(written(out, "1_vendors.patch.json"))
     assert [o["op"] for o in ops].count("flag_ontology_issue") == 3 and {"op": "add_attribute", "on_type": "Organization", "name": "employee_count"}.items() <= ops[-1].items()
     assert written(out, "3_crm_export.report.md").startswith("# Mapping report — 3_crm_export.csv")
