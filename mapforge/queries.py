@@ -100,7 +100,7 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select term, count(distinct doc_id) as df, count(*) as tf from ({_TERMS}) group by term")
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(_tokens(spark, sf_dir), "doc_id", "tokens").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return search.term_counts(_tokens(spark, sf_dir), "tokens")
 
 
 @query(f"with p as ({_TERMS}) select term, round(ln(((select count(*) from documents) - df + 0.5) / (df + 0.5) + 1), 4) as idf from (select term, count(distinct doc_id) as df from p group by term)")
@@ -138,9 +138,8 @@ _COS = "greatest(0, list_dot_product(a.embedding::double[], b.embedding::double[
 @query(f"select query_id, doc_id, cast(rank as int) as rank from (select a.vec_id as query_id, b.vec_id as doc_id, row_number() over (partition by a.vec_id order by round({_COS}, 8) desc, b.vec_id) as rank from embeddings a, embeddings b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id) where rank <= 5")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = t(spark, sf_dir, "embeddings")
-    asked = F.broadcast(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    near = v.join(asked, F.col("query_id") != F.col("vec_id")).select("query_id", F.col("vec_id").alias("doc_id"), F.round(names.cosine(F.col("embedding"), F.col("q")), 8).alias("score"))
-    return search.top_k(near, 5).select("query_id", "doc_id", "rank")
+    found = search.nearest(v, "vec_id", "embedding", v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 5)
+    return found.select("query_id", "doc_id", "rank")
 
 
 @query("select o_custkey, round(max(p) - coalesce(max(case when rn = 2 then p end), 0), 2) as margin from (select o_custkey, o_totalprice as p, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders) group by o_custkey")
