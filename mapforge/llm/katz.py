@@ -93,6 +93,12 @@ class Unigrams:
         return np.where(counts > 0, self.scale * self.discounts(counts) * counts / max(1, self.tokens), self.unknown)
 
 
+def check_numbers(numbers: np.ndarray) -> None:
+    """A pair of numbers is packed in 64 bits; a vocabulary that outgrows its half fails rather than mixing words up."""
+    if len(numbers) and numbers.max() >= 1 << 31:
+        raise OverflowError("more than 2^31 numbers of words")
+
+
 class _Run:
     """A run's tokens: numbers of its distinct words, histories, and what belongs to which document."""
 
@@ -137,6 +143,7 @@ class _Run:
                     raise RuntimeError("a run changed between two passes: read the documents from a table")
                 self.counts[a:b] = counts
                 self.number[a:b] = np.where(place > 0, (place - 1) * parts + p + 1, 0)
+        check_numbers(self.number)
 
     def pairs(self, parts: int, tokens: int) -> None:
         """Distinct (history, follower) of known words, dealt to parts, with training counts."""

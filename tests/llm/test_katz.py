@@ -115,3 +115,9 @@ def test_discounts():
     assert all(0 < x < 1 for x in d.of[1:])
     for odd in ([0] * 7, [0, 0, 5, 0, 0, 0, 0], [0, 1, 50, 1, 1, 1, 1]):
         assert all(0 < x <= 1 for x in katz.Discounts.fit(odd).of)
+
+
+def test_too_many_words():
+    katz.check_numbers(np.array([0, (1 << 31) - 1]))
+    with pytest.raises(OverflowError):
+        katz.check_numbers(np.array([1 << 31]))
