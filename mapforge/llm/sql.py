@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import fingerprint as G
 from . import rules as R
+from . import simhash
 
 WORD = r"[^\x20\x09-\x0D]+"
 _TEXTS = "select doc_id, coalesce(text, '') as text from documents"
@@ -92,6 +93,51 @@ c as (select doc_id, i, word, bool_or(coalesce(first < doc_id, false)) over (par
 s as (select doc_id, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by i) filter (not gone) as kept from c group by doc_id)
 select doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join s using (doc_id)"""
 
+_SIZE = "18446744073709551616::uhugeint"
+#: The primes of XXH64.
+_P = (0, 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _times(x: str, prime: int) -> str:
+    return f"({x}) * {_P[prime]}::uhugeint % {_SIZE}"
+
+
+def _turned(x: str, by: int) -> str:
+    return f"({x} * {1 << by}::uhugeint % {_SIZE} + {x} // {1 << (64 - by)}::uhugeint)"
+
+
+def _lane(at: str, n: int) -> str:
+    """``n`` bytes from ``at`` of a text whose bytes are ``x`` in hex, the first the least."""
+    return "('0x' || " + " || ".join(f"substr(x, 2 * ({at} + {i}) + 1, 2)" for i in range(n - 1, -1, -1)) + ")::ubigint::uhugeint"
+
+
+_FOUR = range(1, 5)
+_START = (simhash.SEED + _P[1] + _P[2], simhash.SEED + _P[2], simhash.SEED, simhash.SEED - _P[1])
+_MERGED = "m0"
+for _i in _FOUR:
+    _MERGED = f"({_times(f'xor({_MERGED}, r{_i})', 1)} + {_P[4]}::uhugeint) % {_SIZE}"
+_OP10 = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as ws from ({_TEXTS})),
+g as (select doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')] else [array_to_string(ws[i:i + 2], ' ') for i in range(1, len(ws) - 1)] end) as s from w),
+d as (select s, strlen(s) as n, hex(encode(s)) as x from (select distinct s from g)),
+stripes as (select s, x, n, 0::bigint as pos, {', '.join(f'{v % (1 << 64)}::uhugeint as v{i}' for i, v in zip(_FOUR, _START))} from d where n >= 32
+  union all select s, x, n, pos + 32, {', '.join(_times(_turned(f'a{i}', 31), 1) for i in _FOUR)} from (select s, x, n, pos, {', '.join(f"(v{i} + {_times(_lane(f'pos + {8 * i - 8}', 8), 2)}) % {_SIZE} as a{i}" for i in _FOUR)} from stripes where pos + 32 <= n)),
+turned as (select s, x, n, pos, ({' + '.join(_turned(f'v{i}', r) for i, r in zip(_FOUR, (1, 7, 12, 18)))}) % {_SIZE} as m0, {', '.join(f'{_times(f"v{i}", 2)} as q{i}' for i in _FOUR)} from stripes where pos + 32 > n),
+merged as (select s, x, n, pos, {_MERGED} as h from (select *, {', '.join(f'{_times(_turned(f"q{i}", 31), 1)} as r{i}' for i in _FOUR)} from turned)),
+tail as (select s, x, n, pos, (h + n::uhugeint) % {_SIZE} as h from (select * from merged union all select s, x, n, 0, {simhash.SEED + _P[5]}::uhugeint from d where n < 32)
+  union all select s, x, n, pos + k, case k when 8 then ({_times(_turned('e', 27), 1)} + {_P[4]}::uhugeint) % {_SIZE} when 4 then ({_times(_turned('e', 23), 2)} + {_P[3]}::uhugeint) % {_SIZE} else {_times(_turned('e', 11), 1)} end
+  from (select s, x, n, pos, k, xor(h, case k when 8 then {_times(_turned('l', 31), 1)} else l end) as e from (select s, x, n, pos, h, k, case k when 8 then {_times(_lane('pos', 8), 2)} when 4 then {_times(_lane('pos', 4), 1)} else {_times(_lane('pos', 1), 5)} end as l
+    from (select *, case when pos + 8 <= n then 8 when pos + 4 <= n then 4 else 1 end as k from tail where pos < n)))),
+a1 as (select s, {_times('xor(h, h // 8589934592::uhugeint)', 2)} as h from tail where pos = n),
+a2 as (select s, {_times('xor(h, h // 536870912::uhugeint)', 3)} as h from a1),
+k as (select s, xor(h, h // 4294967296::uhugeint)::ubigint as h from a2),
+f as (select doc_id, {' + '.join(f"case when 2 * sum((h >> {b}) & 1) > count(*) then {1 << b}::ubigint else 0::ubigint end" for b in range(64))} as fp from g join k using (s) group by doc_id),
+o as (select doc_id, coalesce(fp, 0::ubigint) as fp from w left join f using (doc_id)),
+p as (select fp, min(doc_id) as first from o group by fp),
+j as (select a, b from (select a.fp as a, b.fp as b, xor(a.fp, b.fp) as c from p a, p b where a.fp <> b.fp) where bit_count((c >> 32)::bigint) + bit_count((c & 4294967295)::bigint) <= 2),
+r as (select fp, first from p union select b, first from r join j on a = fp)
+select doc_id, format('{{:016x}}', fp) as fingerprint, component_id from o join (select fp, min(first) as component_id from r group by fp) using (fp)"""
+
 ORACLE = {
     "op1_bucket_digest": _OP1,
     "op2_warc_segments": _OP2,
@@ -99,4 +145,5 @@ ORACLE = {
     "op5_rule_ledger": _OP5,
     "op7_line_similarity_join": _OP7,
     "op9_prefix_subtrees": _OP9,
+    "op10_pigeonring_simhash": _OP10,
 }
