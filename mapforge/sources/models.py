@@ -1,7 +1,7 @@
 """Chat and embedding models as joins: what is asked, left joined to a stored cache by a content key, and only the rest sent out.
 
-The cache is a Parquet table, to which the answers of each call are appended; a run that was cut short finds
-there what it already paid for.
+The cache is a Parquet table, to which the answers of each call are appended when all of them are there; a run that was cut
+short finds the answers of the calls before.
 """
 
 from __future__ import annotations
@@ -108,8 +108,8 @@ def chat(asked: DataFrame, to: Endpoint, cache: str, send: Send = post, max_toke
     """``asked(system, user, schema, tag, ...)`` with ``content`` (JSON), ``prompt_tokens``, ``completion_tokens`` and ``cached``.
 
     ``schema`` is the JSON schema of the answer. Requests with equal text are sent once; answers that were cached cost no tokens.
-    An empty table asks nothing. A request that fails for good fails the job, but what was answered by finished tasks of
-    earlier calls stays in the cache.
+    An empty table asks nothing. A request that fails for good fails the call, and what the call was answered is not stored;
+    the cache keeps what earlier calls left there.
     """
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
