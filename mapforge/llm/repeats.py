@@ -197,7 +197,7 @@ class Repeats:
         ids, raw_ids, texts = R.documents(blob)
         symbols, starts, aux = self.symbols(texts)
         at, h = anchors(symbols, starts, self.gram)
-        h >>= np.uint64(64 - HASH_BITS)
+        h = mix(h) >> np.uint64(64 - HASH_BITS)  # anchors have small hashes: parts, which are ranges, would be uneven
         doc = np.searchsorted(starts, at, "right") - 1
         keys, which = np.unique(h, return_inverse=True)
         return {"ids": ids, "raw_ids": raw_ids, "starts": starts, "aux": aux, "at": at, "doc": doc, "keys": keys, "which": which}

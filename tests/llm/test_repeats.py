@@ -126,3 +126,12 @@ def test_integers_survive_packing():
         assert runs.unpack_ints(runs.pack_ints(np.array(v, np.uint64))).tolist() == v
     ids = np.array([0, -1, 5, -(2**63), 2**63 - 1])
     assert (repeats._signed(repeats._unsigned(ids)) == ids).all()
+
+
+def test_parts_are_even():
+    """Anchors are where hashes are least, and still no part gets much more of them than another."""
+    rng = random.Random(9)
+    blob = [runs.pack_documents(list(range(20)), [bytes(rng.choices(b"abcdefghijkl ", k=20_000)) for _ in range(20)])]
+    for op in (suffix_runs.ByteRepeats(), subtrees.WordRepeats()):
+        sizes = np.diff(runs.cuts(op._grams(blob)["keys"], repeats.HASH_BITS, 50))
+        assert sizes.sum() > 500 and sizes.max() < 3 * sizes.mean()
