@@ -17,6 +17,8 @@ from .common import components, materialise, quoted
 BITS, SHINGLE, SEED = 64, 3, 42
 #: Words handled at once, so that one very long text needs bounded memory.
 STEP = 1 << 16
+#: Rows of ids and hashes (16 bytes each) that are sent to all executors at most; more are joined by key.
+BROADCAST_NODES = 500_000
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
@@ -137,16 +139,25 @@ def first_of(rooted: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, first: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``first(doc_id, th)`` names.
 
-    Of rows equal in id and text the one with the least hash of all columns stays. Names of columns do not matter.
+    Of rows equal in id and text the one with the least hash of all columns stays. Names of columns do not matter. Texts are not
+    shuffled to find out: what goes and what is repeated is settled by ids and hashes, and is less than what stays. Only where that is
+    more than can be sent to all executors, rows meet it by key.
     """
     tag = uuid.uuid4().hex
-    keep_id, keep_th, own_th, place = (f"{c}_{tag}" for c in ("id", "th", "own", "place"))
-    first = first.select(F.col("doc_id").alias(keep_id), F.col("th").alias(keep_th))
-    own = docs.withColumn(own_th, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = own.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & (F.col(own_th) == F.col(keep_th)), "left_semi")
+    own_id, own_th, place, id_, th = (f"{c}_{tag}" for c in ("own_id", "own_th", "place", "id", "th"))
+    own = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_th: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    keys = own.groupBy(F.col(own_id).alias(id_), F.col(own_th).alias(th)).agg(F.count("*").alias("n"))
+    named = keys.join(first.select("doc_id", F.col("th").alias("stays")), F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col(th) == F.col("stays")), "left")
+    odd = materialise(named.where("stays is null or n > 1").select(id_, th, F.col("stays").isNotNull().alias("stays")), "odd")
+    twice = odd.where("stays").select(id_, th)
+    few = F.broadcast if odd.count() <= BROADCAST_NODES else lambda df: df
+    same = F.col(own_id).eqNullSafe(F.col(id_)) & (F.col(own_th) == F.col(th))
     columns = [F.col(quoted(c)) for c in docs.columns]
-    once = Window.partitionBy("doc_id", own_th).orderBy(F.xxhash64(*columns))
-    return kept.withColumn(place, F.row_number().over(once)).where(F.col(place) == 1).select(*columns)
+    out = own.join(few(odd.select(id_, th)), same, "left_anti").select(*columns)
+    if twice.isEmpty():
+        return out
+    once = Window.partitionBy(own_id, own_th).orderBy(F.xxhash64(*columns))
+    return out.union(own.join(few(twice), same, "left_semi").withColumn(place, F.row_number().over(once)).where(F.col(place) == 1).select(*columns))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = SHINGLE) -> DataFrame:

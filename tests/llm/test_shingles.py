@@ -2,7 +2,7 @@ import random
 from pathlib import Path
 
 import corpus_pipeline
-from mapforge.llm import shingles
+from mapforge.llm import shingles, simhash
 
 from .cases import frame, messy, texts
 
@@ -98,3 +98,40 @@ def test_near_copies_are_found_by_pigeonring(spark, monkeypatch):
     fps = sorted({shingles._fingerprint(shingles.shingles(t.encode())) for _, t in rows})
     near = [(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
     assert near and found == [near]
+
+
+def test_sets_that_only_share_a_passage_are_not_compared(spark, monkeypatch):
+    """Pairs that share common shingles grow faster than the documents; bitmaps settle them, and sets are built for the rest."""
+    compared = []
+    sets = shingles.shingle_sets
+    monkeypatch.setattr(shingles, "shingle_sets", lambda texts, width: compared.extend(r.doc_id for r in texts.select("doc_id").collect()) or sets(texts, width))
+    rng = random.Random(9)
+    passage = [str(rng.randrange(10**6)) for _ in range(60)]
+    rows = [(i, " ".join([*(str(rng.randrange(10**6)) for _ in range(200)), *passage])) for i in range(40)]
+    rows += [(100 + i, f"{rows[i][1]} x") for i in range(3)]
+    assert stage(spark, rows) == kept_ids(rows) == list(range(40))
+    assert set(compared) == {0, 1, 2, 100, 101, 102}
+
+
+def test_bitmaps_differ_no_more_than_sets(spark):
+    rng = random.Random(10)
+    some = lambda n: shingles.np.array([rng.randrange(-(2**62), 2**62) for _ in range(n)], shingles.np.int64)
+    rows = []
+    for n in (1, 63, 85, 86, 170, 171, 682, 683, 700):
+        a = some(n)
+        for cut, new in ((0, 0), (n // 9, n // 9), (n // 5, 0), (0, n // 4), (n // 2, n // 2)):
+            b = shingles.np.concatenate([a[cut:], some(new)])
+            rows.append((shingles._bitmap(a).tolist(), shingles._bitmap(b).tolist(), cut + new))
+    found = spark.createDataFrame(rows, "x array<long>, y array<long>, most int").select(shingles._bits_apart(shingles.F.col("x"), shingles.F.col("y")).alias("n"), "most").collect()
+    assert all(r.n <= r.most for r in found) and sum(r.n > r.most / 3 for r in found if r.most > 20) > 5
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    rows = [(i, f"text {i}") for i in range(20)]
+    docs = frame(spark, rows)
+    first = docs.where("doc_id % 2 = 0").selectExpr("cast(doc_id as long) as doc_id", "xxhash64(text) as th")
+    out = simhash.keep_first(docs, first)
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 20, 2))
+    again = simhash.keep_first(docs.union(docs), first)
+    assert sorted(r.doc_id for r in again.collect()) == list(range(0, 20, 2))
