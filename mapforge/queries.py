@@ -116,15 +116,14 @@ q as (select distinct item_id as query_id, unnest({WORDS.format('text')}) as ter
 s as (select query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) as bm25 from q join tf using (term) join idf using (term) join dl using (doc_id), st group by all)"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bm25(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
     asked = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), names.split_name(F.col("text")).alias("terms"))
-    return search.bm25(_tokens(spark, sf_dir), "doc_id", "tokens", asked)
+    return search.bm25_scan(_tokens(spark, sf_dir), "doc_id", "tokens", asked, k)
 
 
 @query(_BM25 + " select query_id, doc_id, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by round(bm25, 6) desc, doc_id) as rank from s) where rank <= 8")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _bm25(spark, sf_dir).withColumn("score", F.round("bm25", 6))
-    return search.top_k(scored, 8).select("query_id", "doc_id", "rank")
+    return search.top_k(_bm25(spark, sf_dir, 8), 8).select("query_id", "doc_id", "rank")
 
 
 @query(_BM25 + " select query_id, doc_id, round(case when m > 0 then bm25 / m else 0 end, 4) as bm25 from (select *, max(bm25) over (partition by query_id) as m from s) ")
