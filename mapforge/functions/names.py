@@ -19,8 +19,7 @@ def _strings(words: Sequence[str]) -> Column:
 
 def split_name(name: Column) -> Column:
     """Lower-case parts of a name, cut at camel-case boundaries and at whatever is not a letter or digit of ASCII."""
-    cut = F.regexp_replace(F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])", " "), "[^0-9a-zA-Z]+", " ")
-    return F.filter(F.split(F.lower(cut), " "), lambda x: x != "")
+    return F.transform(F.regexp_extract_all(name, F.lit("[A-Z]*[a-z0-9]+|[A-Z]+"), F.lit(0)), F.lower)
 
 
 def tokenize(name: Column) -> Column:

@@ -106,7 +106,7 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with p as ({_TERMS}) select term, round(ln(((select count(*) from documents) - df + 0.5) / (df + 0.5) + 1), 4) as idf from (select term, count(distinct doc_id) as df from p group by term)")
 def inverse_document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _tokens(spark, sf_dir)
-    return search.term_stats(search.postings(docs, "doc_id", "tokens"), docs.count()).select("term", F.round("idf", 4).alias("idf"))
+    return search.with_idf(search.document_counts(docs, "tokens"), docs.count()).select("term", F.round("idf", 4).alias("idf"))
 
 
 _BM25 = f"""
